@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from .common import forget, grouped, written
 
 #: Different segments under one minimizer that an engine compares at once.
 CROWD = 1000
-#: Symbols of one shard.
+#: Symbols of one shard, about.
 SHARD = 1 << 20
 
 #: engine(symbols of all strings, begin, length, rid, start) -> (string, offset) of each window found.
@@ -123,27 +124,40 @@ def _cut(unit: str, window: int, crowded: bool):
     return run
 
 
-def _compare(unit: str, engine: Engine):
+def _shards(table: pa.Table, length: np.ndarray, most: int) -> Iterator[slice]:
+    """Cuts rows that are sorted by m where m changes, after `most` symbols or more."""
+    m = table.column("m").to_numpy()
+    edges = np.append(np.flatnonzero(m[1:] != m[:-1]) + 1, len(m))
+    total, at = np.concatenate([[0], np.cumsum(length)]), 0
+    for e in edges.tolist():
+        if total[e] - total[at] >= most or e == len(m):
+            yield slice(at, e)
+            at = e
+
+
+def _compare(unit: str, engine: Engine, most: int):
+    item = np.dtype(np.uint8 if unit == "byte" else np.uint64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        item = np.uint8 if unit == "byte" else np.uint64
-        for shard in grouped(batches, "m", lambda t: t.column("string").nbytes // np.dtype(item).itemsize, SHARD):
-            strings = shard.column("string").to_pylist()
-            m, h = shard.column("m").to_numpy(), shard.column("h").to_numpy()
-            length = np.array([len(x) for x in strings]) // np.dtype(item).itemsize
-            sym = np.frombuffer(b"".join(strings), item)
-            string, offset = engine(sym, np.cumsum(length) - length, length, shard.column("rid").to_numpy(), shard.column("start").to_numpy())
-            if not len(string):
-                continue
-            by = np.lexsort((offset, string))
-            string, offset = string[by], offset[by]
-            which, begin = np.unique(string, return_index=True)
-            offsets = pa.ListArray.from_arrays(pa.array(np.append(begin, len(offset)), pa.int32()), pa.array(offset, pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(m[which]), pa.array(h[which]), offsets], ["m", "h", "offsets"])
+        for table in grouped(batches, "m", lambda t: t.column("string").nbytes // item.itemsize, most):
+            lengths = pc.binary_length(table.column("string")).to_numpy() // item.itemsize
+            for rows in _shards(table, lengths, most):
+                shard, length = table.slice(rows.start, rows.stop - rows.start), lengths[rows]
+                sym = np.frombuffer(b"".join(shard.column("string").to_pylist()), item)
+                string, offset = engine(sym, np.cumsum(length) - length, length, shard.column("rid").to_numpy(), shard.column("start").to_numpy())
+                if not len(string):
+                    continue
+                m, h = shard.column("m").to_numpy(), shard.column("h").to_numpy()
+                by = np.lexsort((offset, string))
+                string, offset = string[by], offset[by]
+                which, begin = np.unique(string, return_index=True)
+                offsets = pa.ListArray.from_arrays(pa.array(np.append(begin, len(offset)), pa.int32()), pa.array(offset, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(m[which]), pa.array(h[which]), offsets], ["m", "h", "offsets"])
 
     return run
 
 
-def repeats(rows: DataFrame, unit: str, window: int, gram: int, engine: Engine, spare_first: bool, crowd: int = CROWD) -> DataFrame:
+def repeats(rows: DataFrame, unit: str, window: int, gram: int, engine: Engine, spare_first: bool, crowd: int = CROWD, shard: int = SHARD) -> DataFrame:
     """(rid, spans): for each document with repeats, the windows found, as array<struct<start, n>>.
 
     rows: (rid, text) with unique rid; null texts hold nothing. A window is found if it occurs more than once; with
@@ -166,7 +180,7 @@ def repeats(rows: DataFrame, unit: str, window: int, gram: int, engine: Engine,
         return texts.join(lists, "rid").mapInArrow(_cut(unit, window, crowded), schema)
 
     strings = cut(False, "m long, h long, rid long, start long, string binary")
-    found = strings.repartition("m").sortWithinPartitions("m").mapInArrow(_compare(unit, engine), "m long, h long, offsets array<int>")
+    found = strings.repartition("m").sortWithinPartitions("m").mapInArrow(_compare(unit, engine, shard), "m long, h long, offsets array<int>")
     if shared.filter(F.col("kinds") > crowd).limit(1).take(1):
         windows = written(cut(True, "m long, h long, rid long, at long, offset int, name binary"))
         first = written(windows.groupBy("name").agg(F.min(F.struct("rid", "at")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1"))
