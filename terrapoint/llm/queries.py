@@ -15,5 +15,11 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(remove_repeated_strings(_documents(spark, sf_dir)))
 
 
-QUERIES = {"op1_suffix_array_dedup": op1_suffix_array_dedup}
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import digest, remove_repeated_passages
+
+    return digest(remove_repeated_passages(_documents(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op6_substring_dedup)}
 SQL: dict[str, str] = {}

@@ -6,8 +6,8 @@ The plan, for any unit (bytes, words):
 2. Segments (see segments.py) whose minimizer is repeated stay: a semi-join, whose skewed side Spark can split.
 3. Equal segments fold into their first one (a hash aggregation). A segment that is alone under its
    minimizer is settled. The texts of all others are cut from the documents.
-4. An engine compares the folded segments that share a minimizer, a bounded shard of them at a time.
-   Minimizers with over `crowd` different segments, such as those at the ends of a passage that many documents
+4. An engine compares the folded segments that share a minimizer, a bounded shard of them at a time, less
+   those that share too little around the minimizer with any other to hold an equal window. Minimizers with over `crowd` different segments, such as those at the ends of a passage that many documents
    share, are compared window by window instead, through partial aggregation, so no task meets them all.
 5. Verdicts return to every occurrence, then to the documents, by joins.
 
@@ -42,6 +42,13 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, so that memory follows the longest texts and not the batches' size."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def _symbols(unit: str) -> Callable[[bytes], np.ndarray]:
     return S.byte_symbols if unit == "byte" else S.word_symbols
 
@@ -57,8 +64,8 @@ def _signed(a: np.ndarray) -> np.ndarray:
 
 def _minimizers(unit: str, window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [_symbols(unit)(x) for x in _bytes(batch.column("text"))]
+        for batch in _slices(batches, 1000):
+            parts = (_symbols(unit)(x) for x in _bytes(batch.column("text")))
             for sym, ends, _, _ in S.chunks(parts, window):
                 m, c = np.unique(S.segments(sym, ends, window, gram).selected, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(m)), pa.array(c.astype(np.int64))], ["m", "c"])
@@ -68,9 +75,9 @@ def _minimizers(unit: str, window: int, gram: int):
 
 def _segments(unit: str, window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 1000):
             rid = batch.column("rid").to_numpy()
-            parts = [_symbols(unit)(x) for x in _bytes(batch.column("text"))]
+            parts = (_symbols(unit)(x) for x in _bytes(batch.column("text")))
             for sym, ends, owner, shift in S.chunks(parts, window):
                 s = S.segments(sym, ends, window, gram)
                 doc = np.searchsorted(ends, s.start, "right")
@@ -114,12 +121,10 @@ def _cut(unit: str, window: int, crowded: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["m", "h", "rid", "at", "offset", "name"] if crowded else ["m", "h", "rid", "start", "string"]
-        for whole_batch in batches:
-            for k in range(0, whole_batch.num_rows, 256):
-                batch = whole_batch.slice(k, 256)
-                raw = [_raw(unit, x) for x in _bytes(batch.column("text"))]
-                listed = batch.column("listed").to_pylist()
-                yield pa.RecordBatch.from_arrays((windows if crowded else whole)(batch.column("rid").to_numpy(), raw, listed), names)
+        for batch in _slices(batches, 200):
+            raw = [_raw(unit, x) for x in _bytes(batch.column("text"))]
+            listed = batch.column("listed").to_pylist()
+            yield pa.RecordBatch.from_arrays((windows if crowded else whole)(batch.column("rid").to_numpy(), raw, listed), names)
 
     return run
 
@@ -135,7 +140,7 @@ def _shards(table: pa.Table, length: np.ndarray, most: int) -> Iterator[slice]:
             at = e
 
 
-def _compare(unit: str, engine: Engine, most: int):
+def _compare(unit: str, window: int, gram: int, engine: Engine, most: int):
     item = np.dtype(np.uint8 if unit == "byte" else np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,10 +149,14 @@ def _compare(unit: str, engine: Engine, most: int):
             for rows in _shards(table, lengths, most):
                 shard, length = table.slice(rows.start, rows.stop - rows.start), lengths[rows]
                 sym = np.frombuffer(b"".join(shard.column("string").to_pylist()), item)
-                string, offset = engine(sym, np.cumsum(length) - length, length, shard.column("rid").to_numpy(), shard.column("start").to_numpy())
+                m, h = shard.column("m").to_numpy(), shard.column("h").to_numpy()
+                hashed = S.byte_symbols(sym) if unit == "byte" else sym
+                paired = S.partners(hashed, np.cumsum(length) - length, length, m.view(np.uint64), window, gram)
+                sym, length, m, h = sym[np.repeat(paired, length)], length[paired], m[paired], h[paired]
+                rid, start = (shard.column(x).to_numpy()[paired] for x in ("rid", "start"))
+                string, offset = engine(sym, np.cumsum(length) - length, length, rid, start)
                 if not len(string):
                     continue
-                m, h = shard.column("m").to_numpy(), shard.column("h").to_numpy()
                 by = np.lexsort((offset, string))
                 string, offset = string[by], offset[by]
                 which, begin = np.unique(string, return_index=True)
@@ -180,15 +189,19 @@ def repeats(rows: DataFrame, unit: str, window: int, gram: int, engine: Engine,
         return texts.join(lists, "rid").mapInArrow(_cut(unit, window, crowded), schema)
 
     strings = cut(False, "m long, h long, rid long, start long, string binary")
-    found = strings.repartition("m").sortWithinPartitions("m").mapInArrow(_compare(unit, engine, shard), "m long, h long, offsets array<int>")
+    found = strings.repartition("m").sortWithinPartitions("m").mapInArrow(_compare(unit, window, gram, engine, shard), "m long, h long, offsets array<int>")
+    done = [folded, shared]
     if shared.filter(F.col("kinds") > crowd).limit(1).take(1):
         windows = written(cut(True, "m long, h long, rid long, at long, offset int, name binary"))
         first = written(windows.groupBy("name").agg(F.min(F.struct("rid", "at")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1"))
         hits = windows.join(first, "name")
         if spare_first:
             hits = hits.filter(F.struct("rid", "at") != F.col("first"))
+        done += [windows, first]
         found = found.unionByName(hits.groupBy("m", "h").agg(F.sort_array(F.collect_list("offset")).alias("offsets")))
     verdicts = written(folded.join(found, ["m", "h"], "left"))
+    for table in done:
+        forget(table)
     whole = F.struct("rid", "place") != F.col("first") if spare_first else F.col("times") > 1
     start, n = F.shiftright("place", 9), F.col("place").bitwiseAND(255)
     hit = kept.join(verdicts.select("m", "h", "first", "times", "offsets"), ["m", "h"]).filter(whole | F.col("offsets").isNotNull())

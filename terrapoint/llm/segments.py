@@ -9,6 +9,7 @@ strings; a segment is named by 128 bits (its minimizer and a hash of its content
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ import numpy as np
 #: Windows of one segment at most; runs in periodic text are cut into pieces of this many.
 LONGEST = 128
 #: Symbols that are hashed at a time, so that memory doesn't follow a document's length.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -183,7 +184,7 @@ def segments(sym: np.ndarray, ends: np.ndarray, window: int, gram: int) -> Segme
     return Segments(first, length, m, h, seen > 1, values)
 
 
-def chunks(parts: list[np.ndarray], window: int):
+def chunks(parts: Iterable[np.ndarray], window: int):
     """Lays documents end to end, about CHUNK symbols at a time.
 
     Yields (symbols, ends, owner, shift): owner is the index of each piece's document, shift what to add to a
@@ -211,3 +212,33 @@ def chunks(parts: list[np.ndarray], window: int):
                 held, owner, offset, total = [], [], [], 0
     if held:
         yield flush()
+
+
+def partners(sym: np.ndarray, begin: np.ndarray, length: np.ndarray, m: np.ndarray, window: int, gram: int, classes: int = 4) -> np.ndarray:
+    """Which strings can hold a window that occurs twice among strings of the same minimizer.
+
+    A window reaches some l symbols to the left of its minimizer. For l in each of `classes` ranges, the
+    symbols around the minimizer that all such windows hold are hashed; a string none of whose hashes occurs
+    twice has no partner. sym: the strings, end to end; m: each one's minimizer.
+    """
+    g = _grams(sym, gram)
+    ends = begin + length
+    owner = np.repeat(np.arange(len(begin)), length)[: len(g)]
+    anchor = np.flatnonzero(g == m[owner])
+    owner = owner[anchor]
+    whole = anchor + gram <= ends[owner]
+    anchor, owner = anchor[whole], owner[whole]
+    prefix, rest = _prefix(sym), window - gram
+    step = -(-(rest + 1) // classes)
+    keys, owners = [], []
+    for least in range(0, rest + 1, step):
+        most = min(least + step - 1, rest)
+        b, e = anchor - least, anchor + gram + rest - most
+        inside = (b >= begin[owner]) & (e <= ends[owner])
+        keys.append(mix(substring_hash(prefix, b[inside], e[inside]) + np.uint64(least)))
+        owners.append(owner[inside])
+    keys, owners = np.concatenate(keys), np.concatenate(owners)
+    _, which, count = np.unique(keys, return_inverse=True, return_counts=True)
+    out = np.zeros(len(begin), bool)
+    out[owners[count[which] > 1]] = True
+    return out
