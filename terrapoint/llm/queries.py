@@ -4,22 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing, quality, substring_dedup, suffix_dedup
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .suffix_dedup import digest, remove_repeated_strings
-
-    return digest(remove_repeated_strings(_documents(spark, sf_dir)))
+    return suffix_dedup.digest(suffix_dedup.remove_repeated_strings(_documents(spark, sf_dir)))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .substring_dedup import digest, remove_repeated_passages
+    return substring_dedup.digest(substring_dedup.remove_repeated_passages(_documents(spark, sf_dir)))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(quality.judged(_documents(spark, sf_dir)))
+
 
-    return digest(remove_repeated_passages(_documents(spark, sf_dir)))
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.mixed(_documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op6_substring_dedup)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op4_quality_rules, op6_substring_dedup, op10_source_mixing)}
+SQL: dict[str, str] = {"op4_quality_rules": quality.SQL, "op10_source_mixing": mixing.SQL}
