@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -33,21 +33,26 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts lineage, survives the loss of executors.
 
-    The files go when the Python process ends. Shuffle files of the jobs so far can be freed at once.
+    The files go when the Python process ends, or by forget().
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_freed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    free_shuffles(spark)
-    return out
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files of finished plans now rather than at some later collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go as soon as it has ended, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def forget(df: DataFrame) -> None:

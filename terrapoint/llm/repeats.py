@@ -7,8 +7,9 @@ The plan, for any unit (bytes, words):
 3. Equal segments fold into their first one (a hash aggregation). A segment that is alone under its
    minimizer is settled. The texts of all others are cut from the documents.
 4. An engine compares the folded segments that share a minimizer, a bounded shard of them at a time, less
-   those that share too little around the minimizer with any other to hold an equal window. Minimizers with over `crowd` different segments, such as those at the ends of a passage that many documents
-   share, are compared window by window instead, through partial aggregation, so no task meets them all.
+   those that share too little around the minimizer with any other to hold an equal window. Minimizers with
+   over `crowd` different segments, such as those at the ends of a passage that many documents share, are cut
+   into ever narrower pieces that fold by partial aggregation instead, so no task meets them all.
 5. Verdicts return to every occurrence, then to the documents, by joins.
 
 Tables between the steps are written to the shared folder. Strings are named by 128 bits; the engine compares
@@ -42,7 +43,7 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """A few rows at a time, so that memory follows the longest texts and not the batches' size."""
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
@@ -64,10 +65,10 @@ def _signed(a: np.ndarray) -> np.ndarray:
 
 def _minimizers(unit: str, window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches, 1000):
+        for batch in slices(batches, 1000):
             parts = (_symbols(unit)(x) for x in _bytes(batch.column("text")))
             for sym, ends, _, _ in S.chunks(parts, window):
-                m, c = np.unique(S.segments(sym, ends, window, gram).selected, return_counts=True)
+                m, c = np.unique(S.minimizers(sym, ends, window, gram), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(m)), pa.array(c.astype(np.int64))], ["m", "c"])
 
     return run
@@ -75,7 +76,7 @@ def _minimizers(unit: str, window: int, gram: int):
 
 def _segments(unit: str, window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches, 1000):
+        for batch in slices(batches, 1000):
             rid = batch.column("rid").to_numpy()
             parts = (_symbols(unit)(x) for x in _bytes(batch.column("text")))
             for sym, ends, owner, shift in S.chunks(parts, window):
@@ -88,47 +89,83 @@ def _segments(unit: str, window: int, gram: int):
     return run
 
 
-def _cut(unit: str, window: int, crowded: bool):
-    """Cuts the listed segments from each text: whole ones, or the name of each window of crowded ones."""
-
-    def strings(raw: list[np.ndarray], listed: list[list[dict]]):
-        for text, segs in zip(raw, listed, strict=True):
-            for s in segs:
-                start, n = s["place"] >> 9, s["place"] & 255
-                yield s, start, n, text[start : start + n + window - 1]
-
-    def whole(rid, raw, listed):
-        out: list[tuple] = [(s["m"], s["h"], start, x.tobytes()) for s, start, n, x in strings(raw, listed)]
-        ids = np.repeat(rid, [len(x) for x in listed])
-        m, h, start, x = zip(*out, strict=True) if out else ((), (), (), ())
-        return [pa.array(m, pa.int64()), pa.array(h, pa.int64()), pa.array(ids, pa.int64()), pa.array(start, pa.int64()), pa.array(x, pa.binary())]
-
-    def windows(rid, raw, listed):
-        m, h, place, at, name = [], [], [], [], []
-        width = window * raw[0].itemsize if raw else 0
-        ids = []
-        for r, text, segs in zip(rid, raw, listed, strict=True):
-            for s, start, n, x in strings([text], [segs]):
-                b = x.tobytes()
-                for o in range(n):
-                    name.append(xxhash.xxh3_128_digest(b[o * x.itemsize : o * x.itemsize + width]))
-                m += [s["m"]] * n
-                h += [s["h"]] * n
-                ids += [r] * n
-                place += range(start, start + n)
-                at += range(n)
-        return [pa.array(m, pa.int64()), pa.array(h, pa.int64()), pa.array(ids, pa.int64()), pa.array(place, pa.int64()), pa.array(at, pa.int32()), pa.array(name, pa.binary())]
+def _cut(unit: str, window: int):
+    """Cuts the listed segments from each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["m", "h", "rid", "at", "offset", "name"] if crowded else ["m", "h", "rid", "start", "string"]
-        for batch in _slices(batches, 200):
-            raw = [_raw(unit, x) for x in _bytes(batch.column("text"))]
-            listed = batch.column("listed").to_pylist()
-            yield pa.RecordBatch.from_arrays((windows if crowded else whole)(batch.column("rid").to_numpy(), raw, listed), names)
+        for batch in slices(batches, 200):
+            lists = batch.column("listed")
+            flat, count = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            m, h, place = (flat.field(x) for x in ("m", "h", "place"))
+            start, n = place.to_numpy() >> 9, place.to_numpy() & 255
+            strings, at = [], 0
+            begin, end = start.tolist(), (start + n + window - 1).tolist()
+            for text, k in zip(_bytes(batch.column("text")), count.tolist(), strict=True):
+                raw = text if unit == "byte" else S.word_symbols(text).tobytes()
+                size = 1 if unit == "byte" else 8
+                strings += [raw[b * size : e * size] for b, e in zip(begin[at : at + k], end[at : at + k], strict=True)]
+                at += k
+            rid = pa.array(np.repeat(batch.column("rid").to_numpy(), count))
+            yield pa.RecordBatch.from_arrays([m, h, rid, pa.array(start), pa.array(n), pa.array(strings, pa.binary())], ["m", "h", "rid", "start", "n", "string"])
 
     return run
 
 
+STRING = "m long, h long, rid long, start long, n long, string binary"
+
+
+def _pieces(unit: str, window: int, gram: int, width: int):
+    """Cuts pieces (see segments.pieces) from the windows [offset, offset + n) of each string.
+
+    key: what all windows of the piece's kind share; name: the whole piece.
+    """
+    item = np.dtype(np.uint8 if unit == "byte" else np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1000):
+            out: list[tuple] = []
+            for r in batch.to_pylist():
+                raw = np.frombuffer(r["string"], item)
+                sym = S.byte_symbols(raw) if unit == "byte" else raw
+                for o, n, b, e in zip(*(x.tolist() for x in S.pieces(sym, r["n"], r["m"] & (1 << 64) - 1, window, gram, width)), strict=True):
+                    content = raw[o : o + n + window - 1].tobytes()
+                    key = xxhash.xxh3_128_digest(raw[b:e].tobytes())
+                    out.append((r["m"], r["h"], r["rid"], r["start"] + o, r["offset"] + o, n, content, key, xxhash.xxh3_128_digest(content)))
+            columns = zip(*out, strict=True) if out else [()] * 9
+            types = [pa.int64()] * 6 + [pa.binary()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, types, strict=True)], ["m", "h", "rid", "start", "offset", "n", "string", "key", "name"])
+
+    return run
+
+
+def _crowded(strings: DataFrame, unit: str, window: int, gram: int, spare_first: bool, tables: list[DataFrame]) -> DataFrame:
+    """(m, h, hits) for strings under crowded minimizers, by folding ever narrower pieces of them.
+
+    Pieces that are equal fold by partial aggregation. Different pieces with equal shared symbols go on to be cut
+    more narrowly; pieces of single windows, at last, are equal or have nothing to share.
+    """
+    schema = "m long, h long, rid long, start long, offset long, n long, string binary, key binary, name binary"
+    left, found = strings.withColumn("offset", F.lit(0).cast("long")), []
+    for width in (24, 6, 1):
+        cut = written(left.mapInArrow(_pieces(unit, window, gram, width), schema))
+        folded = written(cut.groupBy("key", "name").agg(F.min(F.struct("rid", "start")).alias("first"), F.count(F.lit(1)).alias("times")))
+        tables += [cut, folded]
+        hits = cut.select("m", "h", "rid", "start", "offset", "n", "name").join(folded.filter("times > 1").select("name", "first"), "name")
+        if spare_first:
+            hits = hits.filter(F.struct("rid", "start") != F.col("first"))
+        found.append(hits.select("m", "h", (F.shiftleft("offset", 9) + F.col("n")).alias("hit")))
+        if width == 1:
+            break
+        several = written(folded.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("key"))
+        tables.append(several)
+        open_ = folded.join(several, "key", "left_semi").select("name", F.col("first.rid").alias("rid"), F.col("first.start").alias("start"))
+        left = cut.join(open_, ["name", "rid", "start"], "left_semi").drop("key", "name")
+    every = found[0]
+    for x in found[1:]:
+        every = every.unionByName(x)
+    return every.groupBy("m", "h").agg(F.collect_list("hit").alias("hits"))
+
+
 def _shards(table: pa.Table, length: np.ndarray, most: int) -> Iterator[slice]:
     """Cuts rows that are sorted by m where m changes, after `most` symbols or more."""
     m = table.column("m").to_numpy()
@@ -159,19 +196,22 @@ def _compare(unit: str, window: int, gram: int, engine: Engine, most: int):
                     continue
                 by = np.lexsort((offset, string))
                 string, offset = string[by], offset[by]
-                which, begin = np.unique(string, return_index=True)
-                offsets = pa.ListArray.from_arrays(pa.array(np.append(begin, len(offset)), pa.int32()), pa.array(offset, pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(m[which]), pa.array(h[which]), offsets], ["m", "h", "offsets"])
+                # runs of consecutive windows of one string
+                first = np.flatnonzero(np.concatenate([[True], (string[1:] != string[:-1]) | (offset[1:] != offset[:-1] + 1)]))
+                hit = offset[first] << 9 | np.diff(np.append(first, len(offset)))
+                which, begin = np.unique(string[first], return_index=True)
+                hits = pa.ListArray.from_arrays(pa.array(np.append(begin, len(hit)), pa.int32()), pa.array(hit, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(m[which]), pa.array(h[which]), hits], ["m", "h", "hits"])
 
     return run
 
 
 def repeats(rows: DataFrame, unit: str, window: int, gram: int, engine: Engine, spare_first: bool, crowd: int = CROWD, shard: int = SHARD) -> DataFrame:
-    """(rid, spans): for each document with repeats, the windows found, as array<struct<start, n>>.
+    """(rid, spans): for each document with repeats, the windows found, as an array of start * 512 + n: n
+    consecutive windows, of which the first starts at symbol `start`.
 
     rows: (rid, text) with unique rid; null texts hold nothing. A window is found if it occurs more than once; with
-    spare_first, only if it also starts earlier (smaller rid, or same rid and smaller start). start counts
-    symbols, n consecutive windows.
+    spare_first, only if it also starts earlier (smaller rid, or same rid and smaller start).
     """
     texts = rows.select("rid", "text").filter("text is not null")
     repeated = written(texts.select("text").mapInArrow(_minimizers(unit, window, gram), "m long, c long").groupBy("m").agg(F.sum("c").alias("c")).filter("c > 1").select("m"))
@@ -182,44 +222,46 @@ def repeats(rows: DataFrame, unit: str, window: int, gram: int, engine: Engine,
     multi = F.col("first.place").bitwiseAND(256) > 0
     shared = written(folded.groupBy("m").agg(F.count(F.lit(1)).alias("kinds"), F.max(multi).alias("multi")).filter("kinds > 1 or multi"))
     open_ = folded.join(shared, "m").select("m", "h", F.col("first.rid").alias("rid"), F.col("first.place").alias("place"), (F.col("kinds") > crowd).alias("crowded"))
+    tables = [folded, shared]
 
-    def cut(crowded: bool, schema: str) -> DataFrame:
+    def cut(crowded: bool) -> DataFrame:
         mine = open_.filter("crowded" if crowded else "not crowded")
         lists = mine.groupBy("rid").agg(F.collect_list(F.struct("m", "h", "place")).alias("listed"))
-        return texts.join(lists, "rid").mapInArrow(_cut(unit, window, crowded), schema)
+        return texts.join(lists, "rid").mapInArrow(_cut(unit, window), STRING)
 
-    strings = cut(False, "m long, h long, rid long, start long, string binary")
-    found = strings.repartition("m").sortWithinPartitions("m").mapInArrow(_compare(unit, window, gram, engine, shard), "m long, h long, offsets array<int>")
-    done = [folded, shared]
+    found = cut(False).repartition("m").sortWithinPartitions("m").mapInArrow(_compare(unit, window, gram, engine, shard), "m long, h long, hits array<long>")
     if shared.filter(F.col("kinds") > crowd).limit(1).take(1):
-        windows = written(cut(True, "m long, h long, rid long, at long, offset int, name binary"))
-        first = written(windows.groupBy("name").agg(F.min(F.struct("rid", "at")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1"))
-        hits = windows.join(first, "name")
-        if spare_first:
-            hits = hits.filter(F.struct("rid", "at") != F.col("first"))
-        done += [windows, first]
-        found = found.unionByName(hits.groupBy("m", "h").agg(F.sort_array(F.collect_list("offset")).alias("offsets")))
+        found = found.unionByName(_crowded(cut(True), unit, window, gram, spare_first, tables))
     verdicts = written(folded.join(found, ["m", "h"], "left"))
-    for table in done:
+    for table in tables:
         forget(table)
     whole = F.struct("rid", "place") != F.col("first") if spare_first else F.col("times") > 1
-    start, n = F.shiftright("place", 9), F.col("place").bitwiseAND(255)
-    hit = kept.join(verdicts.select("m", "h", "first", "times", "offsets"), ["m", "h"]).filter(whole | F.col("offsets").isNotNull())
-    spans = F.when(whole, F.array(F.struct(start.alias("start"), n.alias("n")))).otherwise(F.transform("offsets", lambda o: F.struct((start + o).alias("start"), F.lit(1).cast("long").alias("n"))))
+    start = F.shiftright("place", 9)
+    hit = kept.join(verdicts, ["m", "h"]).filter(whole | F.col("hits").isNotNull())
+    spans = F.when(whole, F.array(F.shiftleft(start, 9) + F.col("place").bitwiseAND(255))).otherwise(F.transform("hits", lambda x: F.shiftleft(start, 9) + x))
     return hit.select("rid", spans.alias("spans")).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def covered(spans: list[dict] | None, window: int, size: int) -> np.ndarray:
-    """Which of a document's `size` symbols lie in one of the windows."""
-    edge = np.zeros(size + 1, np.int64)
-    if spans:
-        start = np.array([s["start"] for s in spans])
-        np.add.at(edge, start, 1)
-        np.add.at(edge, np.array([s["n"] for s in spans]) + start + window - 1, -1)
-    return np.cumsum(edge)[:size] > 0
-
-
-def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and end of each run of true values."""
-    step = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
-    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+def covered(spans: pa.Array, sizes: np.ndarray, window: int) -> np.ndarray:
+    """Which symbols lie in one of the windows, for documents of these sizes, laid end to end."""
+    total, begin = int(sizes.sum()), np.cumsum(sizes) - sizes
+    spans = spans.fill_null([])
+    flat = spans.flatten().to_numpy(zero_copy_only=False)
+    start = (flat >> 9) + np.repeat(begin, np.diff(spans.offsets.to_numpy()))
+    edge = np.bincount(start, minlength=total + 1) - np.bincount(start + (flat & 511) + window - 1, minlength=total + 1)
+    return np.cumsum(edge[:total]) > 0
+
+
+def runs(mask: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Begin and end of each run of true values in each document, as array<struct<begin, end>>."""
+    ends = np.cumsum(sizes)
+    new = np.zeros(len(mask) + 1, bool)
+    new[np.concatenate([[0], ends])] = True
+    before = np.concatenate([[False], mask])
+    after = np.concatenate([mask, [False]])
+    first = np.flatnonzero(after & (new | ~before))
+    last = np.flatnonzero(before & (new | ~after))
+    owner = np.searchsorted(ends, first, "right")
+    shift = (ends - sizes)[owner]
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(first - shift), pa.array(last - shift)], ["begin", "end"]))

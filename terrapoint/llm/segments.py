@@ -17,7 +17,7 @@ import numpy as np
 #: Windows of one segment at most; runs in periodic text are cut into pieces of this many.
 LONGEST = 128
 #: Symbols that are hashed at a time, so that memory doesn't follow a document's length.
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -135,15 +135,11 @@ class Segments:
     m: np.ndarray
     h: np.ndarray
     multi: np.ndarray
-    selected: np.ndarray  # the minimizers, one for each place where one lies
 
 
-def segments(sym: np.ndarray, ends: np.ndarray, window: int, gram: int) -> Segments:
-    """Of documents laid end to end; ends: where each one ends. Windows don't cross those places."""
+def _least(sym: np.ndarray, ends: np.ndarray, window: int, gram: int):
+    """Hashes of all grams; each window's minimizer; whether the window lies in one document; places of minimizers."""
     span = window - gram + 1
-    none = np.empty(0, np.int64)
-    if len(sym) < window:
-        return Segments(none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool), none.astype(np.uint64))
     g = _grams(sym, gram)
     least = _sliding(g, span, np.minimum)
     valid = np.ones(len(sym), bool)
@@ -158,7 +154,24 @@ def segments(sym: np.ndarray, ends: np.ndarray, window: int, gram: int) -> Segme
     shown = np.where(valid, least, np.uint64(0))
     padded = np.concatenate([np.zeros(span - 1, np.uint64), shown, np.zeros(span - 1, np.uint64)])
     top = _sliding(padded, span, np.maximum)
-    where = np.flatnonzero((g == top) & (top > 0))
+    return g, least, valid, np.flatnonzero((g == top) & (top > 0))
+
+
+def minimizers(sym: np.ndarray, ends: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """The minimizers of documents laid end to end, one for each place where one lies."""
+    if len(sym) < window:
+        return np.empty(0, np.uint64)
+    g, _, _, where = _least(sym, ends, window, gram)
+    return g[where]
+
+
+def segments(sym: np.ndarray, ends: np.ndarray, window: int, gram: int) -> Segments:
+    """Of documents laid end to end; ends: where each one ends. Windows don't cross those places."""
+    span = window - gram + 1
+    none = np.empty(0, np.int64)
+    if len(sym) < window:
+        return Segments(none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool))
+    g, least, valid, where = _least(sym, ends, window, gram)
     # runs of windows with one minimizer
     new = np.empty(len(least), bool)
     new[0] = True
@@ -181,7 +194,7 @@ def segments(sym: np.ndarray, ends: np.ndarray, window: int, gram: int) -> Segme
         seen[live] += values[at[live]] == m[live]
         at[live] += 1
         live = live[(at[live] < to[live]) & (seen[live] < 2)]
-    return Segments(first, length, m, h, seen > 1, values)
+    return Segments(first, length, m, h, seen > 1)
 
 
 def chunks(parts: Iterable[np.ndarray], window: int):
@@ -214,6 +227,23 @@ def chunks(parts: Iterable[np.ndarray], window: int):
         yield flush()
 
 
+def pieces(sym: np.ndarray, n: int, m: int, window: int, gram: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts a segment of n windows by how far each reaches to the left of its minimizer, `width` lengths at a time.
+
+    Gives offset and number of windows of each piece, and where the symbols begin and end that all windows
+    of its kind share, whichever segment they lie in. A window that is found in two segments lies in pieces of one kind in
+    both, and its piece's shared symbols are equal there.
+    """
+    anchors = np.flatnonzero(_grams(sym, gram) == np.uint64(m))
+    o = np.arange(n)
+    anchor = anchors[np.searchsorted(anchors, o)]
+    kind = (anchor - o) // width
+    cut = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (kind[1:] != kind[:-1])]))
+    anchor, kind = anchor[cut], kind[cut]
+    most = np.minimum((kind + 1) * width - 1, window - gram)
+    return cut, np.diff(np.append(cut, n)), anchor - kind * width, anchor + window - most
+
+
 def partners(sym: np.ndarray, begin: np.ndarray, length: np.ndarray, m: np.ndarray, window: int, gram: int, classes: int = 4) -> np.ndarray:
     """Which strings can hold a window that occurs twice among strings of the same minimizer.
 

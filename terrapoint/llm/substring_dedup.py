@@ -9,6 +9,7 @@ it. No other segment can match 35 of its words.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
 from .common import with_row_ids
-from .repeats import CROWD, covered, repeats, runs
+from .repeats import CROWD, covered, repeats, runs, slices
 
 GRAM = 8
 #: Words of one reference shard, about; segments that share a minimizer stay together.
@@ -42,21 +43,17 @@ def _engine(window: int):
 
 def _remove(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                batch = whole.slice(k, 512)
-                sizes, kept, spans = [], [], []
-                for text, found in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                    words = (text or b"").split()  # splits at the same six bytes as word_bounds()
-                    sizes.append(len(words))
-                    mask = covered(found, window, len(words))
-                    b, e = runs(mask)
-                    stay = np.flatnonzero(~mask).tolist() if found else range(len(words))
-                    kept.append(b" ".join([words[i] for i in stay]))
-                    spans.append([{"begin": x, "end": y} for x, y in zip(b.tolist(), e.tolist(), strict=True)])
-                type_ = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-                new = [pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, type_)]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), *new], ["id", "n_words", "kept", "removed"])
+        for batch in slices(batches, 1000):
+            texts = batch.column("text").fill_null("").cast(pa.binary()).to_pylist()
+            split = [x.split() for x in texts]  # at the same six bytes as segments.word_bounds()
+            sizes = np.array([len(x) for x in split], np.int64)
+            mask = covered(batch.column("spans"), sizes, window)
+            kept, at = [], 0
+            for words, n in zip(split, sizes.tolist(), strict=True):
+                kept.append(b" ".join(compress(words, ~mask[at : at + n])))
+                at += n
+            new = [pa.array(sizes), pa.array(kept, pa.binary()).cast(pa.string()), runs(mask, sizes)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *new], ["id", "n_words", "kept", "removed"])
 
     return run
 

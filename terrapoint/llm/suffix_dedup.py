@@ -12,12 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bcr import repeated_windows
 from .common import with_row_ids
-from .repeats import CROWD, covered, repeats, runs
+from .repeats import CROWD, covered, repeats, runs, slices
 
 GRAM = 24
 
@@ -31,25 +32,15 @@ def _engine(window: int):
 
 def _remove(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                batch = whole.slice(k, 512)
-                sizes, kept, spans = [], [], []
-                for text, found in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                    text = text or b""
-                    sizes.append(len(text))
-                    if not found:
-                        kept.append(text)
-                        spans.append([])
-                        continue
-                    mask = covered(found, window, len(text))
-                    kept.append(np.frombuffer(text, np.uint8)[~mask].tobytes())
-                    b, e = runs(mask)
-                    spans.append([{"begin": x, "end": y} for x, y in zip(b.tolist(), e.tolist(), strict=True)])
-                type_ = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-                new = [pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, type_)]
-                rest = [x for x in batch.schema.names if x not in ("text", "spans")]
-                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in rest), *new], [*rest, "n_bytes", "kept", "removed"])
+        for batch in slices(batches, 1000):
+            text = batch.column("text").fill_null("").cast(pa.large_binary())
+            sizes = pc.binary_length(text).to_numpy().astype(np.int64)
+            data = np.frombuffer(b"".join(text.to_pylist()), np.uint8)
+            mask = covered(batch.column("spans"), sizes, window)
+            left = np.concatenate([[0], np.cumsum(~mask)])[np.concatenate([[0], np.cumsum(sizes)])]
+            kept = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(left.astype(np.int64)), pa.py_buffer(data[~mask].tobytes())])
+            rest = [x for x in batch.schema.names if x not in ("text", "spans")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in rest), pa.array(sizes), kept.cast(pa.binary()), runs(mask, sizes)], [*rest, "n_bytes", "kept", "removed"])
 
     return run
 
