@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, substring_dedup, suffix_dedup
+from . import mixing, quality, simhash, substring_dedup, suffix_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeated_strings(_documents(spark, sf_dir)))
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(_documents(spark, sf_dir)))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeated_passages(_documents(spark, sf_dir)))
 
@@ -27,5 +31,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mixed(_documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op4_quality_rules, op6_substring_dedup, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op4_quality_rules, op5_simhash_near_dedup, op6_substring_dedup, op10_source_mixing)}
 SQL: dict[str, str] = {"op4_quality_rules": quality.SQL, "op10_source_mixing": mixing.SQL}

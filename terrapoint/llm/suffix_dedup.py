@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bcr import repeated_windows
 from .common import with_row_ids
@@ -59,8 +60,9 @@ def remove_repeated_strings(docs: DataFrame, window: int = 100, id_col: str = "d
         raise ValueError(f"window must be at least {2 * GRAM}")
     rows = with_row_ids(docs, id_col, text_col, carry)
     found = repeats(rows, "byte", window, GRAM, _engine(window), True, crowd)
-    rest = [f for f in rows.schema.fields if f.name == "rest"]
-    schema = ", ".join(["id long", *(f"rest {f.dataType.simpleString()}" for f in rest), "n_bytes long", "kept binary", "removed array<struct<begin:long,end:long>>"])
+    span = T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])
+    new = [T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("removed", T.ArrayType(span))]
+    schema = T.StructType([*(f for f in rows.schema if f.name in ("id", "rest")), *new])
     return rows.join(found, "rid", "left").select("id", *["rest"] * carry, "text", "spans").mapInArrow(_remove(window), schema)
 
 
