@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, simhash, substring_dedup, suffix_dedup
+from . import byte_bpe, mixing, quality, simhash, substring_dedup, suffix_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeated_passages(_documents(spark, sf_dir)))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")  # the vocabulary of byte_bpe_50k.tiktoken, as the library reads it
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return byte_bpe.digest(byte_bpe.decoded(byte_bpe.encoded(docs, path), path))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.judged(_documents(spark, sf_dir)))
 
@@ -31,5 +39,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mixed(_documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op4_quality_rules, op5_simhash_near_dedup, op6_substring_dedup, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op3_byte_bpe, op4_quality_rules, op5_simhash_near_dedup, op6_substring_dedup, op10_source_mixing)}
 SQL: dict[str, str] = {"op4_quality_rules": quality.SQL, "op10_source_mixing": mixing.SQL}
