@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, quality, simhash, substring_dedup, suffix_dedup
+from . import byte_bpe, mixing, quality, sharding, simhash, substring_dedup, suffix_dedup, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeated_passages(_documents(spark, sf_dir)))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From an uneven layout, 32 shards by source, to 40 even ones."""
+    old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(32))
+    return sharding.digest(sharding.resharded(_documents(spark, sf_dir), old, 32, 40))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,9 +42,15 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.judged(_documents(spark, sf_dir)))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of `labels` stand for the page of the same number; low quality is a bad outcome."""
+    outcomes = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), (1 - F.col("quality")).alias("bad"))
+    return url_filter.digest(url_filter.judged(spark.read.parquet(f"{sf_dir}/pages.parquet"), outcomes))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mixed(_documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op3_byte_bpe, op4_quality_rules, op5_simhash_near_dedup, op6_substring_dedup, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_sharding, op3_byte_bpe, op4_quality_rules, op5_simhash_near_dedup, op6_substring_dedup, op8_url_filter, op10_source_mixing)}
 SQL: dict[str, str] = {"op4_quality_rules": quality.SQL, "op10_source_mixing": mixing.SQL}
