@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, quality, sharding, simhash, substring_dedup, suffix_dedup, url_filter
+from . import byte_bpe, lattice, mixing, quality, sharding, simhash, substring_dedup, suffix_dedup, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,9 +48,13 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.digest(url_filter.judged(spark.read.parquet(f"{sf_dir}/pages.parquet"), outcomes))
 
 
+def op9_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.digest(lattice.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mixed(_documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_sharding, op3_byte_bpe, op4_quality_rules, op5_simhash_near_dedup, op6_substring_dedup, op8_url_filter, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_sharding, op3_byte_bpe, op4_quality_rules, op5_simhash_near_dedup, op6_substring_dedup, op8_url_filter, op9_lattice_near_dedup, op10_source_mixing)}
 SQL: dict[str, str] = {"op4_quality_rules": quality.SQL, "op10_source_mixing": mixing.SQL}
