@@ -31,13 +31,18 @@ def _engine(window: int):
     return engine
 
 
-def _remove(window: int):
+def _remove(window: int, characters: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1000):
             text = batch.column("text").fill_null("").cast(pa.large_binary())
             sizes = pc.binary_length(text).to_numpy().astype(np.int64)
             data = np.frombuffer(b"".join(text.to_pylist()), np.uint8)
             mask = covered(batch.column("spans"), sizes, window)
+            if characters:
+                of = np.cumsum((data & 0xC0) != 0x80)
+                broken = np.zeros(len(data) + 1, bool)
+                broken[of[mask]] = True
+                mask = broken[of]
             left = np.concatenate([[0], np.cumsum(~mask)])[np.concatenate([[0], np.cumsum(sizes)])]
             kept = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(left.astype(np.int64)), pa.py_buffer(data[~mask].tobytes())])
             rest = [x for x in batch.schema.names if x not in ("text", "spans")]
@@ -46,12 +51,12 @@ def _remove(window: int):
     return run
 
 
-def remove_repeated_strings(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, crowd: int = CROWD) -> DataFrame:
+def remove_repeated_strings(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, characters: bool = False, crowd: int = CROWD) -> DataFrame:
     """(id, n_bytes, kept, removed) for each row, and with carry also rest, a struct of the row's columns.
 
     Each byte covered by a string of `window` bytes that also starts earlier (smaller id, or the same
     document and a smaller place) is removed; strings are judged on the input and don't cross documents.
-    kept: the remaining bytes (which may split a character). removed: array<struct<begin, end>>, the
+    kept: the remaining bytes, which may split a character; with characters, one that loses a byte goes as a whole. removed: array<struct<begin, end>>, the
     maximal runs. Null texts count as empty. Texts shorter than window stay as they are. Null ids come first;
     rows that share an id are ordered by a hash of their text, so that of repeated rows one stays. An empty
     table gives an empty result. Columns of other names, also "rid" or "spans", don't matter.
@@ -63,7 +68,7 @@ def remove_repeated_strings(docs: DataFrame, window: int = 100, id_col: str = "d
     span = T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])
     new = [T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("removed", T.ArrayType(span))]
     schema = T.StructType([*(f for f in rows.schema if f.name in ("id", "rest")), *new])
-    return rows.join(found, "rid", "left").select("id", *["rest"] * carry, "text", "spans").mapInArrow(_remove(window), schema)
+    return rows.join(found, "rid", "left").select("id", *["rest"] * carry, "text", "spans").mapInArrow(_remove(window, characters), schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
