@@ -1,83 +1,19 @@
-"""What the operators share: intermediate tables in the cluster's shared folder, row ids, grouped batches."""
+"""What the operators share: words, row ids, grouped batches."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A word: code points other than space and \t \n \v \f \r.
-WORD_BREAK = "[\\x20\\x09-\\x0D]+"
-
-_written: list[tuple[object, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else None
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="terrapoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts lineage, survives the loss of executors.
-
-    The files go when the Python process ends, or by forget().
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    with _shuffles_freed(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+from ..plans.tables import forget, shared_folder, written
 
+__all__ = ["WORD_BREAK", "forget", "grouped", "shared_folder", "with_row_ids", "written"]
 
-@contextlib.contextmanager
-def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what runs inside go as soon as it has ended, not when the driver collects its garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes the table that written() made of df, once nothing reads it any more."""
-    files = set(df.inputFiles()[:1])
-    for item in [x for x in _written if any(x[1].split("/tables/")[1] in f for f in files)]:
-        _delete(item)
-        _written.remove(item)
-
-
-def _delete(item: tuple[object, str]) -> None:
-    spark, path = item
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _cleanup() -> None:
-    for item in _written:
-        try:
-            _delete(item)
-        except Exception:  # the session has ended before; its folder is the cluster's to clear
-            return
-
+#: A word: code points other than space and \t \n \v \f \r.
+WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 
 def with_row_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """(rid, id, text): rid is unique and ordered as the ids are. With carry, also rest: all columns, as a struct.
