@@ -44,14 +44,15 @@ def pages(packed: DataFrame, groups: DataFrame, transform: Transform) -> DataFra
     return with_world(out.join(groups.select("resolution", "row_group", "index"), ["resolution", "row_group"]), transform)
 
 
-def resolutions(groups: DataFrame, levels: int) -> DataFrame:
-    """A row for each level, empty ones included: ranges of groups and rows, points, and bounds, null if empty."""
+def resolutions(groups: DataFrame, transform: Transform, ratio: int, levels: int) -> DataFrame:
+    """A row for each level, empty ones included: ranges of groups and rows, points, error, and bounds, null if empty."""
     spine = groups.sparkSession.range(levels).select(F.col("id").cast("tinyint").alias("resolution"))
     own = groups.groupBy("resolution").agg(
-        F.count(F.lit(1)).alias("groups"), F.sum("point_count").alias("point_count"), F.max("geometric_error").alias("geometric_error"),
+        F.count(F.lit(1)).alias("groups"), F.sum("point_count").alias("point_count"),
         *[F.min(c).alias(c) for c in WORLD_LOW], *[F.max(c).alias(c) for c in WORLD_HIGH],
     )
     out = spine.join(own, "resolution", "left").fillna(0, ["groups", "point_count"])
+    out = out.withColumn("geometric_error", voxel_diagonal(max(transform.scale), ratio, levels, F.col("resolution")))
     upto = W.orderBy("resolution").rowsBetween(W.unboundedPreceding, 0)  # of levels
     out = out.withColumn("row_group_end", F.sum("groups").over(upto)).withColumn("row_end", F.sum("point_count").over(upto))
     return out.withColumn("row_group_start", F.col("row_group_end") - F.col("groups")).withColumn("row_start", F.col("row_end") - F.col("point_count")).drop("groups")

@@ -38,7 +38,7 @@ class PointCloud:
         return self.spark.read.parquet(f"{self.path}/_catalog/pages")
 
     def resolutions(self) -> DataFrame:
-        return catalog.resolutions(self.groups, self.metadata.levels)
+        return catalog.resolutions(self.groups, self.metadata.transform, self.metadata.voxel_edge_ratio, self.metadata.levels)
 
     def projected(self) -> DataFrame:
         """The columns of a result, before any filter."""

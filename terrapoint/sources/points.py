@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,7 +93,7 @@ def broken(points: DataFrame) -> DataFrame:
     rows = []
     for name, _, optional in have:
         c = F.col(name)
-        wide = F.count_if((c < 0) | (c > F.lit(UNSIGNED[name]))) if name in UNSIGNED else F.lit(0).cast("long")
+        wide = F.count_if((c < 0) | (c > F.lit(Decimal(UNSIGNED[name])))) if name in UNSIGNED else F.lit(0).cast("long")
         nulls = F.count_if(c.isNull())
         mixed = (nulls > 0) & (nulls < total) if optional else F.lit(False)
         rows.append(F.struct(F.lit(name).alias("column"), (F.lit(0).cast("long") if optional else nulls).alias("nulls"), wide.alias("out_of_range"), mixed.alias("mixed")))
