@@ -11,17 +11,21 @@ import codecs
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Characters of a piece, about, and of the texts that are encoded in one call.
+#: Characters of a piece of a long text, about.
 PIECE = 1 << 16
+#: Fixed value: the pattern by which such vocabularies split text before merging.
+PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
 #: A space between ASCII letters ends one match and begins the next, whatever stands around it.
 _CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
@@ -67,46 +71,74 @@ def _load(tokenizer: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
+    before = json.loads(tokenizer)
+    split = before.get("pre_tokenizer") or {}
+    if before.get("normalizer") or split.get("type") != "ByteLevel" or not split.get("use_regex", True) or split.get("add_prefix_space"):
+        raise ValueError("the vocabulary must be byte-level, without normalizer and prefix space")
     out = Tokenizer.from_str(tokenizer)
     out.encode_special_tokens = True
     return out
 
 
+#: Ids of matches that this worker has met, as bytes of int32, by vocabulary.
+_known: dict[int, dict[str, bytes]] = {}
+#: Matches that a worker remembers, about 200 MB; then it begins anew.
+REMEMBERED = 1_000_000
+
+
+def _lists(parts: list[list[bytes]]) -> pa.ListArray:
+    counts = [sum(map(len, x)) // 4 for x in parts]
+    flat = np.frombuffer(b"".join(y for x in parts for y in x), np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]), pa.int32()), pa.array(flat))
+
+
+def _by_match(tokenizer, known: dict[str, bytes], texts: list[str]) -> list[list[bytes]]:
+    """Ids of each text. A match of the pattern has the same ids wherever it stands, so the library encodes each
+    different match once, a batch at a time."""
+    split = [[PATTERN.findall(p) for p in pieces(t)] for t in texts]
+    met = set()
+    for parts in split:
+        met.update(*parts)
+    if len(known) + len(met) > REMEMBERED:
+        known.clear()
+    new = [m for m in met if m not in known]
+    for k in range(0, len(new), 10_000):
+        some = new[k : k + 10_000]
+        for m, x in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            known[m] = array("i", x.ids).tobytes()
+    return [[b"".join(map(known.__getitem__, p)) for p in parts] for parts in split]
+
+
+def _with_offsets(tokenizer, texts: list[str]) -> tuple[list[list[bytes]], list[list[dict]]]:
+    ids, spans = [], []
+    for text in texts:
+        shift, parts, found = 0, [], []
+        for p in pieces(text):
+            x = tokenizer.encode(p, add_special_tokens=False)
+            parts.append(array("i", x.ids).tobytes())
+            found += [{"begin": b + shift, "end": e + shift} for b, e in x.offsets]
+            shift += len(p)
+        ids.append(parts)
+        spans.append(found)
+    return ids, spans
+
+
 def _encode(sent, offsets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _load(sent.value)
-        encode = tokenizer.encode_batch if offsets else tokenizer.encode_batch_fast
-        for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            rest = [x for x in batch.schema.names if x != "text"]
-            at = 0
-            while at < len(texts):
-                cut, shift, owner, to, size = [], [], [], at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= 4 * PIECE):
-                    begin = 0
-                    for p in pieces(texts[to]):
-                        cut.append(p)
-                        shift.append(begin)
-                        owner.append(to - at)
-                        begin += len(p)
-                    size += begin
-                    to += 1
-                ids: list[list] = [[] for _ in range(to - at)]
-                spans: list[list] = [[] for _ in range(to - at)]
-                group = 0
-                while group < len(cut):  # a very long text by a few pieces at a time
-                    for x, i, s in zip(encode(cut[group : group + 64], add_special_tokens=False), owner[group : group + 64], shift[group : group + 64], strict=True):
-                        ids[i].append(np.array(x.ids, np.int32))
-                        if offsets:
-                            spans[i] += [{"begin": b + s, "end": e + s} for b, e in x.offsets]
-                    group += 64
-                counts = [sum(map(len, x)) for x in ids]
-                flat = np.concatenate([y for x in ids for y in x])
-                columns = [*(batch.column(x).slice(at, to - at) for x in rest), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat, pa.int32()))]
+        known = _known.setdefault(hash(sent.value), {})
+        for whole in batches:
+            for k in range(0, whole.num_rows, 100):
+                batch = whole.slice(k, 100)
+                texts = [x or "" for x in batch.column("text").to_pylist()]
+                rest = [x for x in batch.schema.names if x != "text"]
+                columns = [batch.column(x) for x in rest]
                 if offsets:
-                    columns.append(pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))))
-                yield pa.RecordBatch.from_arrays(columns, [*rest, "ids", *["offsets"] * offsets])
-                at = to
+                    ids, spans = _with_offsets(tokenizer, texts)
+                    span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+                    yield pa.RecordBatch.from_arrays([*columns, _lists(ids), pa.array(spans, span)], [*rest, "ids", "offsets"])
+                else:
+                    yield pa.RecordBatch.from_arrays([*columns, _lists(_by_match(tokenizer, known, texts))], [*rest, "ids"])
 
     return run
 
