@@ -147,12 +147,14 @@ def judged(docs: DataFrame, rules: Rules | None = None, references: References |
     out = out.withColumn("near", F.array(*near))
     passes = F.exists("near", lambda x: ((F.col("n_chars") < rules.least_chars) | (x["c"] <= rules.class_far)) & ((F.col("n_words") < rules.least_words) | (x["w"] <= rules.word_far)))
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
-    return out.select(
+    columns = [
         "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         F.array_min(F.transform("near", lambda x: x["c"])).alias("class_distance"),
         F.array_min(F.transform("near", lambda x: x["w"])).alias("word_distance"),
         (~failed & passes).alias("kept"),
-    )
+    ]
+    # a generator: a caller's filter on kept would else move below, and compute what it needs over and over inside lambdas
+    return out.select(F.inline(F.array(F.struct(*columns))))
 
 
 def digest(found: DataFrame) -> DataFrame:

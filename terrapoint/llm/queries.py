@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, lattice, mixing, quality, sharding, simhash, substring_dedup, suffix_dedup, url_filter
+from . import byte_bpe, lattice, lm_scoring, mixing, quality, sharding, simhash, substring_dedup, suffix_dedup, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.judged(_documents(spark, sf_dir)))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.digest(lm_scoring.scored(_documents(spark, sf_dir)))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of `labels` stand for the page of the same number; low quality is a bad outcome."""
     outcomes = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), (1 - F.col("quality")).alias("bad"))
@@ -56,5 +60,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mixed(_documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_sharding, op3_byte_bpe, op4_quality_rules, op5_simhash_near_dedup, op6_substring_dedup, op8_url_filter, op9_lattice_near_dedup, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_sharding, op3_byte_bpe, op4_quality_rules, op5_simhash_near_dedup, op6_substring_dedup, op7_lm_scoring, op8_url_filter, op9_lattice_near_dedup, op10_source_mixing)}
 SQL: dict[str, str] = {"op4_quality_rules": quality.SQL, "op10_source_mixing": mixing.SQL}
