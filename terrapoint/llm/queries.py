@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, lattice, lm_scoring, mixing, quality, sharding, simhash, substring_dedup, suffix_dedup, url_filter
+from . import byte_bpe, lattice, lm_scoring, mixing, quality, sharding, simhash, sql, substring_dedup, suffix_dedup, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +61,12 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_sharding, op3_byte_bpe, op4_quality_rules, op5_simhash_near_dedup, op6_substring_dedup, op7_lm_scoring, op8_url_filter, op9_lattice_near_dedup, op10_source_mixing)}
-SQL: dict[str, str] = {"op4_quality_rules": quality.SQL, "op10_source_mixing": mixing.SQL}
+#: The others: fingerprints, merges of a vocabulary, hashes that choose shards and n-gram tables are beyond SQL.
+SQL: dict[str, str] = {
+    "op1_suffix_array_dedup": sql.SUFFIX_DEDUP,
+    "op4_quality_rules": quality.SQL,
+    "op6_substring_dedup": sql.SUBSTRING_DEDUP,
+    "op8_url_filter": sql.URL_FILTER,
+    "op9_lattice_near_dedup": sql.LATTICE_DEDUP,
+    "op10_source_mixing": mixing.SQL,
+}
