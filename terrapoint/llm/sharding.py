@@ -146,11 +146,12 @@ def resharded(docs: DataFrame, old: Column, n_old: int, n_new: int, id_col: str
 def rewrite(plan: DataFrame, path: str) -> list[int]:
     """Writes the rows of shards that change to path/shard=N, and gives their numbers. plan: resharded(..., carry=True).
 
-    A shard whose rows neither come nor go keeps its files.
+    A shard whose rows neither come nor go keeps its files. Columns of the rows named shard or slot give way.
     """
     moved = plan.filter("old <> shard")
     changed = sorted({r[0] for x in ("old", "shard") for r in moved.select(x).distinct().collect()})  # shards, not rows
-    plan.filter(F.col("shard").isin(changed)).select("shard", "slot", "row.*").write.mode("overwrite").partitionBy("shard").parquet(path)
+    names = [f.name for f in plan.schema["row"].dataType if f.name not in ("shard", "slot")]
+    plan.filter(F.col("shard").isin(changed)).select("shard", "slot", *[F.col(f"row.`{c}`") for c in names]).write.mode("overwrite").partitionBy("shard").parquet(path)
     return changed
 
 

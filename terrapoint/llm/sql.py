@@ -47,9 +47,9 @@ select c.vec_id, coalesce(n, 0)::bigint as n_links, component_id, c.vec_id = com
 
 def _levels(counts: str, rate: str) -> str:
     """Prior strength of a level, from its labelled groups."""
-    return f"""(select case when between_ > 0 then least(greatest(noise / between_ - 1, 1.0), 1000.0) else 1000.0 end from (
-    select noise, case when freedom > 0 then (spread - noise * (groups - 1)) / freedom else 0.0 end as between_ from (
-      select {rate} * (1 - {rate}) as noise, sum(n) - sum(n * n) / sum(n) as freedom, count(*) as groups, sum(n * pow(bad / n - {rate}, 2.0)) as spread
+    return f"""(select case when between_ > 0 then least(greatest(noise / between_ - 1, 1.0), most) else most end from (
+    select noise, most, case when freedom > 0 then (spread - noise * (groups - 1)) / freedom else 0.0 end as between_ from (
+      select {rate} * (1 - {rate}) as noise, least(greatest(coalesce(sum(n), 0), 1), 1000)::double as most, sum(n) - sum(n * n) / sum(n) as freedom, count(*) as groups, sum(n * pow(bad / n - {rate}, 2.0)) as spread
       from {counts} where n > 0)))"""
 
 

@@ -59,7 +59,7 @@ def domain_of(host: Column, suffix: Column) -> Column:
 
 def _strength(counts: DataFrame, rate: float) -> float:
     """Prior strength, in labelled pages, by the method of moments (Kleinman, 1973): the more rates differ between groups
-    than chance makes them, the weaker the prior. From 1 to 1000."""
+    than chance makes them, the weaker the prior. From 1 to 1000, and no more than there are labels."""
     s = counts.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)).alias("nn"), F.count(F.lit(1)).alias("groups"),
         F.coalesce(F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - F.lit(rate), F.lit(2.0))), F.lit(0.0)).alias("spread"),
@@ -67,7 +67,8 @@ def _strength(counts: DataFrame, rate: float) -> float:
     noise = rate * (1 - rate)
     freedom = s["n"] - s["nn"] / s["n"] if s["n"] else 0
     between = (s["spread"] - noise * (s["groups"] - 1)) / freedom if freedom > 0 else 0.0
-    return min(max(noise / between - 1, 1.0), 1000.0) if between > 0 else 1000.0
+    most = float(min(max(s["n"], 1), 1000))
+    return min(max(noise / between - 1, 1.0), most) if between > 0 else most
 
 
 def judged(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule] = RULES, z: float = 1.0, worst: float = 0.5, suffixes: Sequence[str] = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in"), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
