@@ -345,7 +345,7 @@ def l5_select_by_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chosen(spark, sf_dir).select("index", "resolution", "point_count")
 
 
-@query(_SELECTED + "select string_agg(index::varchar, ',' order by index) || '|" + ",".join(repr(float(v)) for v in (*WORLD.min, *WORLD.max)) + "' as key from chosen")
+@query(_SELECTED + "select coalesce(string_agg(index::varchar, ',' order by index), '') || '|" + ",".join(repr(float(v)) for v in (*WORLD.min, *WORLD.max)) + "' as key from chosen")
 def p27_selection_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.selection_key(_chosen(spark, sf_dir), WORLD)
 
@@ -419,10 +419,10 @@ def f5_candidate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.filter(geometry.overlaps(BOX, catalog.LOW, catalog.HIGH)).select("index", "page", "point_count")
 
 
-@query(GROUPS + f"select g.index, x, y, z, {_RGB} from pk join g using (resolution, row_group) where index in (1, 3, 4) and {_between(VIEW.quantize(WORLD))}")
+@query(GROUPS + f"select g.index, x, y, z, {_RGB} from pk join g using (resolution, row_group) where index in (1, 2, 3) and {_between(VIEW.quantize(WORLD))}")
 def f7_q3_given_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     cloud = stored(spark, sf_dir)
-    found = cloud.query_row_groups([3, 1, 4, 1], WORLD)
+    found = cloud.query_row_groups([3, 1, 2, 1], WORLD)
     return found.join(cloud.groups.select("resolution", "row_group", "index"), ["resolution", "row_group"]).select("index", "x", "y", "z", "red", "green", "blue")
 
 
