@@ -162,3 +162,19 @@ def same_source(a: DataFrame, b: DataFrame, tolerance: float) -> DataFrame:
     for s in sides:
         near = near & (F.abs(F.col(s) - F.col(f"_{s}")) <= tolerance)
     return a.join(F.broadcast(renamed)).select(near.alias("same"))  # one row each
+
+
+def reachable(pages: DataFrame, root: DataFrame) -> DataFrame:
+    """(page) of all pages that links lead to from the root's, each once. pages: page, parent. root: page.
+
+    A round for each depth: children of the last round's pages that weren't seen before. Rounds are written.
+    """
+    from ..plans.tables import written
+
+    links = pages.select("page", "parent").distinct()
+    seen = frontier = written(root.select("page").distinct())
+    while frontier.limit(1).take(1):
+        step = links.join(frontier.withColumnRenamed("page", "parent"), "parent").select("page").distinct()
+        frontier = written(step.join(seen, "page", "left_anti"))
+        seen = written(seen.unionByName(frontier))
+    return seen

@@ -819,6 +819,18 @@ def a23_node_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.agg(F.count(F.lit(1)).alias("nodes_total"), F.count_if(hit).alias("nodes_read"), F.count_if(~hit).alias("nodes_pruned"), F.sum(F.when(hit, F.col("point_count"))).alias("points"))
 
 
+_PAGE = "{d} || '-' || {x} || '-' || {y} || '-' || {z}"
+
+
+@query((_NODES + ", pg as (select " + _PAGE.format(d="depth", x="ix", y="iy", z="iz") + " as page, " + _PAGE.format(d="(depth - 1)", x="(ix // 2)", y="(iy // 2)", z="(iz // 2)") + " as parent from nodes), walk(page) as (select '0-0-0-0' union select pg.page from walk join pg on pg.parent = walk.page) select page from walk").replace("with pts", "with recursive pts", 1))
+def l8_hierarchy_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Octree nodes that the root reaches through nodes that exist."""
+    name = lambda d, x, y, z: F.concat_ws("-", *[c.cast("string") for c in (d, x, y, z)])
+    half = [F.floor(F.col(c) / 2) for c in ("ix", "iy", "iz")]
+    nodes = _nodes(spark, sf_dir).select(name(F.col("depth"), F.col("ix"), F.col("iy"), F.col("iz")).alias("page"), name(F.col("depth") - 1, *half).alias("parent"))
+    return analysis.reachable(nodes, spark.createDataFrame([("0-0-0-0",)], "page string"))
+
+
 @query(GROUPS + ", r as (select resolution, max(row_end) over (order by resolution) as row_end from g) select resolution, row_end::bigint as row_end from (select distinct * from r) order by abs(row_end - (select count(*) from pts) / 4.0), resolution limit 1")
 def l6_o8_nearest_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = catalog.resolutions(groups(spark, sf_dir), VIEW, RATIO, LEVELS).select("resolution", "row_end")
