@@ -862,8 +862,10 @@ def s3_numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points of a box at a level of detail, from the stored layout."""
-    return q1_query_world(spark, sf_dir)
+    """All levels of the largest standard box around the cloud's middle, from the stored layout."""
+    cloud = stored(spark, sf_dir)
+    extent = Box(cloud.metadata.bounds[:3], cloud.metadata.bounds[3:])
+    return cloud.query_world(query_set(extent, extent.center)["large"], cloud.metadata.levels - 1)
 
 
 def describe() -> str:
