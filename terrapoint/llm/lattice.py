@@ -94,7 +94,7 @@ def cells(unit: np.ndarray, label: np.ndarray, options: Tables) -> np.ndarray:
     return out
 
 
-def _place(options: Tables):
+def _place(options: Tables, item: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 2000):
@@ -112,7 +112,7 @@ def _place(options: Tables):
                     table = np.tile(np.repeat(np.arange(options.tables), 1 + options.visits), n)
                     home = np.tile(np.arange(1 + options.visits) == 0, n * options.tables)
                     lists_ = [x.tobytes() for x in named]
-                    vectors = [x.tobytes() for x in v.astype(np.float32)]
+                    vectors = [x.tobytes() for x in v.astype(item)]
                     ids, weight = batch.column("cid").to_numpy()[rows], batch.column("weight").to_numpy()[rows]
                     for a in range(0, n * each, 20_000):
                         w = which[a : a + 20_000]
@@ -126,7 +126,7 @@ def _place(options: Tables):
 PLACED = "key long, cid long, weight long, table long, home boolean, cells binary, vector binary"
 
 
-def _compare(options: Tables, cosine: float):
+def _compare(options: Tables, cosine: float, item: type):
     def compare(block: pa.Table) -> Iterator[pa.RecordBatch]:
         if not any(block.column("home").to_pylist()):
             return
@@ -135,7 +135,7 @@ def _compare(options: Tables, cosine: float):
         cid, weight = block.column("cid").to_numpy(), block.column("weight").to_numpy()
         home, chunk = block.column("home").to_numpy(zero_copy_only=False), block.column("chunk").to_numpy()
         alone = bool(block.column("alone")[0].as_py())
-        vector = _unit(np.frombuffer(b"".join(block.column("vector").to_pylist()), np.float32).reshape(n, -1).astype(np.float64))
+        vector = _unit(np.frombuffer(b"".join(block.column("vector").to_pylist()), item).reshape(n, -1).astype(np.float64))
         named = np.frombuffer(b"".join(block.column("cells").to_pylist()), np.uint64).reshape(n, options.tables, 1 + options.visits)
         found = []
         for at in range(0, n, 512):
@@ -177,13 +177,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, options: Tables |
     """
     options = options or Tables()
     v = F.col("vector")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector"), F.col(label_col).cast("long").alias("label"))
+    kind, item = ("double", np.float64) if dict(vectors.dtypes)[vector_col] == "array<double>" else ("float", np.float32)
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("vector"), F.col(label_col).cast("long").alias("label"))
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     sound = F.coalesce(F.col("label").isNotNull() & finite, F.lit(False))
-    rows = rows.withColumn("cid", F.when(sound, F.xxhash64("label", F.transform(v, lambda x: x + F.lit(0).cast("float")))))
+    rows = rows.withColumn("cid", F.when(sound, F.xxhash64("label", F.transform(v, lambda x: x + F.lit(0).cast(kind)))))
     classes = written(rows.filter("cid is not null").groupBy("cid").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.count(F.lit(1)).alias("weight"), F.min("id").alias("least")))
-    placed = classes.select("cid", "label", "vector", "weight").mapInArrow(_place(options), PLACED)
-    found = written(per_block(dealt(placed, "cid"), _compare(options, cosine), "cid long, links long, root long"))
+    placed = classes.select("cid", "label", "vector", "weight").mapInArrow(_place(options, item), PLACED)
+    found = written(per_block(dealt(placed, "cid"), _compare(options, cosine, item), "cid long, links long, root long"))
     counts = found.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     reached = classes.join(counts, "cid", "left").join(roots, F.col("cid") == F.col("node"), "left")

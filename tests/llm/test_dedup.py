@@ -169,7 +169,8 @@ def brute_components(ids, linked):
         label = new
 
 
-def test_simhash(spark):
+def test_simhash(spark, monkeypatch):
+    monkeypatch.setattr(components, "BLOCK", 4)
     r = random.Random(6)
     rows = corpus(7, 40)
     base = r.choices("alpha beta gamma delta epsilon zeta eta theta".split(), k=300)
@@ -222,10 +223,11 @@ def sound(v, label):
     return label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)
 
 
-def test_vectors(spark, monkeypatch):
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors(spark, monkeypatch, kind):
     rows = vectors()
     monkeypatch.setattr(components, "BLOCK", 8)
-    got = {r[0]: tuple(r[1:]) for r in lattice.digest(lattice.near_duplicates(spark.createDataFrame([(*r, "a", 1) for r in rows], VECTORS))).collect()}
+    got = {r[0]: tuple(r[1:]) for r in lattice.digest(lattice.near_duplicates(spark.createDataFrame([(*r, "a", 1) for r in rows], VECTORS.replace("float", kind)))).collect()}
 
     def linked(i, j):
         (_, a, la), (_, b, lb) = rows[i], rows[j]
