@@ -31,7 +31,7 @@ from . import segments as S
 from .common import forget, grouped, written
 
 #: Different segments under one minimizer that an engine compares at once.
-CROWD = 1000
+CROWD = 400
 #: Symbols of one shard, about.
 SHARD = 1 << 20
 

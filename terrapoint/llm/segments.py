@@ -244,7 +244,7 @@ def pieces(sym: np.ndarray, n: int, m: int, window: int, gram: int, width: int)
     return cut, np.diff(np.append(cut, n)), anchor - kind * width, anchor + window - most
 
 
-def partners(sym: np.ndarray, begin: np.ndarray, length: np.ndarray, m: np.ndarray, window: int, gram: int, classes: int = 4) -> np.ndarray:
+def partners(sym: np.ndarray, begin: np.ndarray, length: np.ndarray, m: np.ndarray, window: int, gram: int, classes: int = 8) -> np.ndarray:
     """Which strings can hold a window that occurs twice among strings of the same minimizer.
 
     A window reaches some l symbols to the left of its minimizer. For l in each of `classes` ranges, the
