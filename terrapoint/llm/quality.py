@@ -75,7 +75,7 @@ def _repeat_words(words: Column, span: int) -> Column:
 
     def of(w: Column) -> Column:
         n = F.size(w)
-        named = F.transform(F.sequence(F.lit(0), n - span), lambda i: F.struct(F.xxhash64(F.slice(w, i + 1, F.lit(span))).alias("h"), i.alias("i")))
+        names = F.transform(F.sequence(F.lit(0), n - span), lambda i: F.xxhash64(F.slice(w, i + 1, F.lit(span))))
 
         def twice(s: Column) -> Column:
             same = lambda x, at: F.coalesce(F.get(s, at)["h"] == x["h"], F.lit(False))
@@ -83,7 +83,12 @@ def _repeat_words(words: Column, span: int) -> Column:
             added = lambda p: F.aggregate(F.transform(p, lambda x, k: F.least(F.coalesce(F.get(p, k + 1) - x, F.lit(span)), F.lit(span))), F.lit(0), lambda a, x: a + x)
             return _let(starts, added)
 
-        return F.when(n >= span, _let(F.sort_array(named), twice)).otherwise(0)
+        def some(h: Column) -> Column:
+            # most texts repeat no window, which a set of hashes tells without sorting
+            placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+            return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(_let(placed, twice))
+
+        return F.when(n >= span, _let(names, some)).otherwise(0)
 
     return _let(words, of)
 
