@@ -38,6 +38,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard_at_exit(spark: SparkSession, path: str) -> None:
+    """Deletes path when the Python process ends."""
+    _written.append((spark, path))
+
+
 @contextlib.contextmanager
 def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of what runs inside go as soon as it has ended, not when the driver collects its garbage."""
