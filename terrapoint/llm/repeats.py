@@ -6,8 +6,8 @@ The plan, for any unit (bytes, words):
 2. Segments (see segments.py) whose minimizer is repeated stay: a semi-join, whose skewed side Spark can split.
 3. Equal segments fold into their first one (a hash aggregation). A segment that is alone under its
    minimizer is settled. The texts of all others are cut from the documents.
-4. An engine compares the folded segments that share a minimizer, a bounded shard of them at a time, less
-   those that share too little around the minimizer with any other to hold an equal window. Minimizers with
+4. An engine compares the folded segments that share a minimizer, a bounded shard of them at a time, cut down
+   to the windows that share enough around the minimizer with another to have an equal. Minimizers with
    over `crowd` different segments, such as those at the ends of a passage that many documents share, are cut
    into ever narrower pieces that fold by partial aggregation instead, so no task meets them all.
 5. Verdicts return to every occurrence, then to the documents, by joins.
@@ -188,19 +188,26 @@ def _compare(unit: str, window: int, gram: int, engine: Engine, most: int):
                 sym = np.frombuffer(b"".join(shard.column("string").to_pylist()), item)
                 m, h = shard.column("m").to_numpy(), shard.column("h").to_numpy()
                 hashed = S.byte_symbols(sym) if unit == "byte" else sym
-                paired = S.partners(hashed, np.cumsum(length) - length, length, m.view(np.uint64), window, gram)
-                sym, length, m, h = sym[np.repeat(paired, length)], length[paired], m[paired], h[paired]
+                first, last = S.partners(hashed, np.cumsum(length) - length, length, m.view(np.uint64), window, gram)
+                paired = np.flatnonzero(first <= last)
+                if not len(paired):
+                    continue
+                begin, first = (np.cumsum(length) - length)[paired] + first[paired], first[paired]
+                length, m, h = last[paired] - first + window, m[paired], h[paired]
+                at = np.cumsum(length) - length
+                sym = sym[np.arange(length.sum()) + np.repeat(begin - at, length)]
                 rid, start = (shard.column(x).to_numpy()[paired] for x in ("rid", "start"))
-                string, offset = engine(sym, np.cumsum(length) - length, length, rid, start)
+                string, offset = engine(sym, at, length, rid, start + first)
                 if not len(string):
                     continue
+                offset = offset + first[string]
                 by = np.lexsort((offset, string))
                 string, offset = string[by], offset[by]
                 # runs of consecutive windows of one string
-                first = np.flatnonzero(np.concatenate([[True], (string[1:] != string[:-1]) | (offset[1:] != offset[:-1] + 1)]))
-                hit = offset[first] << 9 | np.diff(np.append(first, len(offset)))
-                which, begin = np.unique(string[first], return_index=True)
-                hits = pa.ListArray.from_arrays(pa.array(np.append(begin, len(hit)), pa.int32()), pa.array(hit, pa.int64()))
+                edge = np.flatnonzero(np.concatenate([[True], (string[1:] != string[:-1]) | (offset[1:] != offset[:-1] + 1)]))
+                hit = offset[edge] << 9 | np.diff(np.append(edge, len(offset)))
+                which, head = np.unique(string[edge], return_index=True)
+                hits = pa.ListArray.from_arrays(pa.array(np.append(head, len(hit)), pa.int32()), pa.array(hit, pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(m[which]), pa.array(h[which]), hits], ["m", "h", "hits"])
 
     return run

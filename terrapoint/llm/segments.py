@@ -244,12 +244,12 @@ def pieces(sym: np.ndarray, n: int, m: int, window: int, gram: int, width: int)
     return cut, np.diff(np.append(cut, n)), anchor - kind * width, anchor + window - most
 
 
-def partners(sym: np.ndarray, begin: np.ndarray, length: np.ndarray, m: np.ndarray, window: int, gram: int, classes: int = 8) -> np.ndarray:
-    """Which strings can hold a window that occurs twice among strings of the same minimizer.
+def partners(sym: np.ndarray, begin: np.ndarray, length: np.ndarray, m: np.ndarray, window: int, gram: int, classes: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window of each string that can occur twice among strings of the same minimizer; last < first if none can.
 
     A window reaches some l symbols to the left of its minimizer. For l in each of `classes` ranges, the
-    symbols around the minimizer that all such windows hold are hashed; a string none of whose hashes occurs
-    twice has no partner. sym: the strings, end to end; m: each one's minimizer.
+    symbols around the minimizer that all such windows hold are hashed; windows whose hash occurs once
+    have no partner. sym: the strings, end to end; m: each one's minimizer.
     """
     g = _grams(sym, gram)
     ends = begin + length
@@ -260,15 +260,21 @@ def partners(sym: np.ndarray, begin: np.ndarray, length: np.ndarray, m: np.ndarr
     anchor, owner = anchor[whole], owner[whole]
     prefix, rest = _prefix(sym), window - gram
     step = -(-(rest + 1) // classes)
-    keys, owners = [], []
+    keys, owners, lows, highs = [], [], [], []
     for least in range(0, rest + 1, step):
         most = min(least + step - 1, rest)
         b, e = anchor - least, anchor + gram + rest - most
         inside = (b >= begin[owner]) & (e <= ends[owner])
+        own = owner[inside]
         keys.append(mix(substring_hash(prefix, b[inside], e[inside]) + np.uint64(least)))
-        owners.append(owner[inside])
-    keys, owners = np.concatenate(keys), np.concatenate(owners)
+        owners.append(own)
+        place = anchor[inside] - begin[own]
+        lows.append(np.maximum(place - most, 0))
+        highs.append(np.minimum(place - least, length[own] - window))
+    keys, owners, lows, highs = (np.concatenate(x) for x in (keys, owners, lows, highs))
     _, which, count = np.unique(keys, return_inverse=True, return_counts=True)
-    out = np.zeros(len(begin), bool)
-    out[owners[count[which] > 1]] = True
-    return out
+    again = count[which] > 1
+    first, last = np.full(len(begin), np.iinfo(np.int64).max), np.full(len(begin), -1)
+    np.minimum.at(first, owners[again], lows[again])
+    np.maximum.at(last, owners[again], highs[again])
+    return first, last

@@ -45,11 +45,11 @@ def test_partners_lose_nothing(texts, sizes):
     length = np.array([len(x) for _, x in strings])
     m = np.array([k for k, _ in strings], np.uint64)
     flat = segments.byte_symbols(b"".join(x for _, x in strings))
-    kept = segments.partners(flat, np.cumsum(length) - length, length, m, window, gram)
+    first, last = segments.partners(flat, np.cumsum(length) - length, length, m, window, gram)
     windows = [[(k, x[o : o + window]) for o in range(len(x) - window + 1)] for k, x in strings]
     count = Counter(w for ws in windows for w in ws)
-    for ws, keep in zip(windows, kept, strict=True):
-        assert keep or all(count[w] == 1 for w in ws)
+    for ws, a, b in zip(windows, first, last, strict=True):
+        assert all(count[w] == 1 or a <= i <= b for i, w in enumerate(ws))
     shared: dict = {}
     for (k, x), ws in zip(strings, windows, strict=True):
         for width in (6, 1):
