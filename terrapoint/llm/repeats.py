@@ -223,7 +223,8 @@ def repeats(rows: DataFrame, unit: str, window: int, gram: int, engine: Engine,
     texts = rows.select("rid", "text").filter("text is not null")
     repeated = written(texts.select("text").mapInArrow(_minimizers(unit, window, gram), "m long, c long").groupBy("m").agg(F.sum("c").alias("c")).filter("c > 1").select("m"))
     segs = texts.mapInArrow(_segments(unit, window, gram), "m long, h long, rid long, place long")
-    kept = written(segs.join(repeated, "m", "left_semi"))
+    # hashing the few repeated minimizers of a partition spares sorting all of its segments
+    kept = written(segs.join(repeated.hint("shuffle_hash"), "m", "left_semi"))
     forget(repeated)
     folded = written(kept.groupBy("m", "h").agg(F.min(F.struct("rid", "place")).alias("first"), F.count(F.lit(1)).alias("times")))
     multi = F.col("first.place").bitwiseAND(256) > 0
@@ -244,7 +245,7 @@ def repeats(rows: DataFrame, unit: str, window: int, gram: int, engine: Engine,
         forget(table)
     whole = F.struct("rid", "place") != F.col("first") if spare_first else F.col("times") > 1
     start = F.shiftright("place", 9)
-    hit = kept.join(verdicts, ["m", "h"]).filter(whole | F.col("hits").isNotNull())
+    hit = kept.join(verdicts.hint("shuffle_hash"), ["m", "h"]).filter(whole | F.col("hits").isNotNull())
     spans = F.when(whole, F.array(F.shiftleft(start, 9) + F.col("place").bitwiseAND(255))).otherwise(F.transform("hits", lambda x: F.shiftleft(start, 9) + x))
     return hit.select("rid", spans.alias("spans")).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
