@@ -478,9 +478,10 @@ def q6_page_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(PACKED + f"select resolution::int as resolution, count(*) as points from pk where resolution <= {LEVEL} and {_between(BOX)} group by all")
 def q7_q8_progressive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for _, part in stored(spark, sf_dir).chunks(BOX, LEVEL):
-        out = part if out is None else out.unionByName(part)
+    cloud = stored(spark, sf_dir)
+    out = cloud.query_quantized(BOX, LEVEL).limit(0)  # of a box without candidates
+    for _, part in cloud.chunks(BOX, LEVEL):
+        out = out.unionByName(part)
     return out.groupBy("resolution").agg(F.count(F.lit(1)).alias("points"))
 
 
