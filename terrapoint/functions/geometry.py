@@ -43,7 +43,7 @@ def inside(box: Box) -> Column:
 
 def overlaps(box: Box, low: Sequence[str], high: Sequence[str]) -> Column:
     """The box meets [low, high]; columns that are null, bounds that aren't known, count as meeting."""
-    return _all([F.coalesce((F.col(h) >= F.lit(a)) & (F.col(lo) <= F.lit(b)), F.lit(True)) for lo, h, a, b in zip(low, high, box.min, box.max, strict=True)])
+    return _all([F.col(lo).isNull() | F.col(h).isNull() | ((F.col(h) >= F.lit(a)) & (F.col(lo) <= F.lit(b))) for lo, h, a, b in zip(low, high, box.min, box.max, strict=True)])
 
 
 def contains(box: Box, low: Sequence[str], high: Sequence[str]) -> Column:
