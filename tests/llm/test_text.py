@@ -143,6 +143,25 @@ def test_scores(spark, vocabulary):
     assert lm_scoring.scored(df.limit(0)).count() == 0
 
 
+def test_scores_leave_no_word_out(spark):
+    """More words than any fixed vocabulary had: each has its own count and bigrams, in plain Python too."""
+    r = random.Random(5)
+    texts = [" ".join(f"u{r.randrange(90_000)}" if r.random() < 0.9 else f"f{r.randrange(20)}" for _ in range(1000)) for _ in range(150)]
+    texts += [" ".join(f"twice{i}" for i in range(300))] * 2 + [" ".join(f"once{i}" for i in range(300)), None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["id"]: x for x in lm_scoring.scored(df).collect()}
+    seqs = [(t or "").split() for t in texts]
+    one, two = Counter(w for s in seqs for w in s), Counter(b for s in seqs for b in zip(s, s[1:], strict=False))
+    n = sum(one.values())
+    assert len(one) > 65535 and len(got) == len(texts)
+    for i, s in enumerate(seqs):
+        want = math.log10(one[s[0]] / n) if s else 0.0
+        for a, b in zip(s, s[1:], strict=False):
+            want += math.log10(two[a, b] / one[a] if two[a, b] >= 2 else 0.4 * one[b] / n)
+        assert got[i]["n_words"] == len(s) and got[i]["score"] == pytest.approx(want, abs=1e-4)
+    assert got[152]["per_word"] < -5 < got[0]["per_word"] < got[150]["per_word"]
+
+
 def test_flow():
     assert sharding.min_cost_flow([5, 3], [4, 4], [[0, 1], [1, 0]]) == {(0, 0): 4, (0, 1): 1, (1, 1): 3}
     r = random.Random(3)
