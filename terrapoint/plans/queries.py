@@ -322,6 +322,12 @@ def p26_short_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_points(spark, sf_dir).filter("x % 100000 <> 50000").select("source_index", geometry.short_number(F.col("x")).alias("short"))
 
 
+@query(POINTS + "select source_index, case when x >= 1e6 then printf('%.1fm', x / 1e6) when x >= 1e3 then printf('%.1fk', x / 1e3) else printf('%d', x) end as short from pts")
+def p26_short_numbers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all points, also those that p26_short_numbers leaves out: the ties of the one-decimal format."""
+    return events_points(spark, sf_dir).select("source_index", geometry.short_number(F.col("x")).alias("short"))
+
+
 _SELECTED = GROUPS + f""",
 errs as (select * from (values {", ".join(f"({r}, {e!r}::double)" for r, e in enumerate(ERRORS))}) t(r, e)),
 seen as (select g.*, case when resolution = 0 then 'infinity'::double else (select e from errs where r = resolution - 1) * {pixel_scale(VIEWER.viewport_height, VIEWER.fov_degrees)!r}::double / greatest({_DIST}, 1e-6) end as activation,

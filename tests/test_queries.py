@@ -29,3 +29,11 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_short_numbers_of_ties(spark):
+    """At scale 0.1 there are points at 1,050,000, 1,150,000 and so on."""
+    folder = f"{DATA}/sf0.1"
+    c = connect(folder)
+    check(spark, c, QUERIES["p26_short_numbers_all"], SQL["p26_short_numbers_all"], folder)
+    assert QUERIES["p26_short_numbers_all"](spark, folder).count() == c.sql("select count(*) from events").fetchall()[0][0]
