@@ -540,6 +540,17 @@ def l1_ladder_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(own, ladder_length(Box((0, 0, 0), (400000, 1, 1)), Transform(), 2))], "levels int, fixture int")
 
 
+_SPAN = "greatest(" + ", ".join(f"max({a})::bigint - min({a})::bigint" for a in AXES) + ")::double"
+
+
+@query(POINTS + f"select (min(e) + 1)::int as levels from range(64) t(e), (select {_SPAN} * 1.0 as span from pts) where 2.0 ** e > span")
+def l1_ladder_length_of_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the input's own cloud, where l1_ladder_length has fixed boxes."""
+    from .model import ladder_length
+
+    return spark.createDataFrame([(ladder_length(levels.cloud_bounds(events_points(spark, sf_dir)), VIEW, 2),)], "levels int")
+
+
 _OCCUPIED = POINTS + ", b as (select " + _xyz("min({a})::bigint as o{a}") + " from pts), " + "o as (" + " union all ".join(f"select {e} as e, count(distinct ({', '.join(f'floor(({a}::bigint - o{a})::double * 1.0 / {float(2**e)!r})' for a in AXES)})) as n from pts, b" for e in range(19)) + ")\n"
 
 

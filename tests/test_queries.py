@@ -37,3 +37,9 @@ def test_short_numbers_of_ties(spark):
     c = connect(folder)
     check(spark, c, QUERIES["p26_short_numbers_all"], SQL["p26_short_numbers_all"], folder)
     assert QUERIES["p26_short_numbers_all"](spark, folder).count() == c.sql("select count(*) from events").fetchall()[0][0]
+
+
+def test_ladder_of_own_cloud(spark):
+    folder = f"{DATA}/sf0.1"
+    assert [r["levels"] for r in QUERIES["l1_ladder_length_of_cloud"](spark, folder).collect()] == [22]
+    check(spark, connect(folder), QUERIES["l1_ladder_length_of_cloud"], SQL["l1_ladder_length_of_cloud"], folder)
