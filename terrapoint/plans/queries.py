@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import color, geometry, hash64, voxel
 from ..operators import analysis, catalog, levels, packing, selection
 from ..sources import las
-from ..sources.points import EVENTS_SQL, VIEW, broken, complete, events_points, lineitem_points
+from ..sources.points import EVENTS_SQL, STORED, UNSIGNED, VIEW, broken, complete, events_points, lineitem_points
 from . import layout
 from .cloud import PointCloud
 from .model import AXES, Box, Metadata, Transform, fit_distance, pixel_scale, query_set, voxel_width
@@ -687,6 +687,26 @@ def s5_schema_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return broken(complete(events_points(spark, sf_dir))).filter(F.col("column").isin("x", "red", "intensity"))
 
 
+def _broken_sql() -> str:
+    """Of each stored column; those that the points don't have are 0, false or null in `full`."""
+    have = {*AXES, "red", "green", "blue", "intensity", "classification", "gps_time"}
+    added = [f"{'null::bigint' if o else 'false' if k == 'boolean' else '0'} as {n}" for n, k, o in STORED if n not in have]
+
+    def row(name: str, optional: bool) -> str:
+        nulls = f"count(*) filter ({name} is null)"
+        wide = f"count(*) filter ({name} < 0 or {name} > {UNSIGNED[name]})" if name in UNSIGNED else "0::bigint"
+        mixed = f"{nulls} > 0 and {nulls} < count(*)" if optional else "false"
+        return f"select '{name}' as \"column\", {'0::bigint' if optional else nulls} as nulls, {wide} as out_of_range, {mixed} as mixed from full_pts"
+
+    return POINTS + f", full_pts as (select *, {', '.join(added)} from pts)\n" + " union all ".join(row(n, o) for n, _, o in STORED)
+
+
+@query(_broken_sql())
+def s5_schema_check_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all stored columns, where s5_schema_check shows three."""
+    return broken(complete(events_points(spark, sf_dir)))
+
+
 # Aggregates
 
 

@@ -43,3 +43,10 @@ def test_ladder_of_own_cloud(spark):
     folder = f"{DATA}/sf0.1"
     assert [r["levels"] for r in QUERIES["l1_ladder_length_of_cloud"](spark, folder).collect()] == [22]
     check(spark, connect(folder), QUERIES["l1_ladder_length_of_cloud"], SQL["l1_ladder_length_of_cloud"], folder)
+
+
+def test_schema_check_of_all_columns(spark):
+    from terrapoint.sources.points import STORED
+
+    got = [r["column"] for r in QUERIES["s5_schema_check_all"](spark, FOLDER).collect()]
+    assert got == [n for n, _, _ in STORED]
