@@ -13,7 +13,7 @@ The plan, for any unit (bytes, words):
 5. Verdicts return to every occurrence, then to the documents, by joins.
 
 Tables between the steps are written to the shared folder. Strings are named by 128 bits; the engine compares
-symbols.
+the bytes or words themselves.
 """
 
 from __future__ import annotations
@@ -54,11 +54,6 @@ def _symbols(unit: str) -> Callable[[bytes], np.ndarray]:
     return S.byte_symbols if unit == "byte" else S.word_symbols
 
 
-def _raw(unit: str, text: bytes) -> np.ndarray:
-    """What the engine compares: bytes, or 64-bit hashes of words."""
-    return np.frombuffer(text, np.uint8) if unit == "byte" else S.word_symbols(text)
-
-
 def _signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
@@ -101,9 +96,12 @@ def _cut(unit: str, window: int):
             strings, at = [], 0
             begin, end = start.tolist(), (start + n + window - 1).tolist()
             for text, k in zip(_bytes(batch.column("text")), count.tolist(), strict=True):
-                raw = text if unit == "byte" else S.word_symbols(text).tobytes()
-                size = 1 if unit == "byte" else 8
-                strings += [raw[b * size : e * size] for b, e in zip(begin[at : at + k], end[at : at + k], strict=True)]
+                spans = zip(begin[at : at + k], end[at : at + k], strict=True)
+                if unit == "byte":
+                    strings += [text[b:e] for b, e in spans]
+                else:
+                    words = text.split()
+                    strings += [b" ".join(words[b:e]) for b, e in spans]
                 at += k
             rid = pa.array(np.repeat(batch.column("rid").to_numpy(), count))
             yield pa.RecordBatch.from_arrays([m, h, rid, pa.array(start), pa.array(n), pa.array(strings, pa.binary())], ["m", "h", "rid", "start", "n", "string"])
@@ -119,17 +117,17 @@ def _pieces(unit: str, window: int, gram: int, width: int):
 
     key: what all windows of the piece's kind share; name: the whole piece.
     """
-    item = np.dtype(np.uint8 if unit == "byte" else np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1000):
             out: list[tuple] = []
             for r in batch.to_pylist():
-                raw = np.frombuffer(r["string"], item)
-                sym = S.byte_symbols(raw) if unit == "byte" else raw
-                for o, n, b, e in zip(*(x.tolist() for x in S.pieces(sym, r["n"], r["m"] & (1 << 64) - 1, window, gram, width)), strict=True):
-                    content = raw[o : o + n + window - 1].tobytes()
-                    key = xxhash.xxh3_128_digest(raw[b:e].tobytes())
+                string = r["string"]
+                words = string.split() if unit == "word" else []
+                part = (lambda b, e, s=string: s[b:e]) if unit == "byte" else (lambda b, e, s=words: b" ".join(s[b:e]))
+                for o, n, b, e in zip(*(x.tolist() for x in S.pieces(_symbols(unit)(string), r["n"], r["m"] & (1 << 64) - 1, window, gram, width)), strict=True):
+                    content = part(o, o + n + window - 1)
+                    key = xxhash.xxh3_128_digest(part(b, e))
                     out.append((r["m"], r["h"], r["rid"], r["start"] + o, r["offset"] + o, n, content, key, xxhash.xxh3_128_digest(content)))
             columns = zip(*out, strict=True) if out else [()] * 9
             types = [pa.int64()] * 6 + [pa.binary()] * 3
@@ -177,17 +175,22 @@ def _shards(table: pa.Table, length: np.ndarray, most: int) -> Iterator[slice]:
             at = e
 
 
-def _compare(unit: str, window: int, gram: int, engine: Engine, most: int):
-    item = np.dtype(np.uint8 if unit == "byte" else np.uint64)
+def _distinct(strings: list[bytes]) -> np.ndarray:
+    """A number for each word of the strings, the same for equal words only."""
+    known: dict[bytes, int] = {}
+    return np.fromiter((known.setdefault(w, len(known)) for s in strings for w in s.split()), np.int64)
+
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped(batches, "m", lambda t: t.column("string").nbytes // item.itemsize, most):
-            lengths = pc.binary_length(table.column("string")).to_numpy() // item.itemsize
+        for table in grouped(batches, "m", lambda t: pc.sum(t.column("n")).as_py() + t.num_rows * (window - 1), most):
+            lengths = table.column("n").to_numpy() + window - 1
             for rows in _shards(table, lengths, most):
                 shard, length = table.slice(rows.start, rows.stop - rows.start), lengths[rows]
-                sym = np.frombuffer(b"".join(shard.column("string").to_pylist()), item)
+                strings = shard.column("string").to_pylist()
                 m, h = shard.column("m").to_numpy(), shard.column("h").to_numpy()
-                hashed = S.byte_symbols(sym) if unit == "byte" else sym
+def _compare(unit: str, window: int, gram: int, engine: Engine, most: int):
+                sym = np.frombuffer(b"".join(strings), np.uint8) if unit == "byte" else _distinct(strings)
+                hashed = S.byte_symbols(sym) if unit == "byte" else S.word_symbols(b" ".join(strings))
                 first, last = S.partners(hashed, np.cumsum(length) - length, length, m.view(np.uint64), window, gram)
                 paired = np.flatnonzero(first <= last)
                 if not len(paired):

@@ -9,15 +9,20 @@ strings; a segment is named by 128 bits (its minimizer and a hash of its content
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 
 #: Windows of one segment at most; runs in periodic text are cut into pieces of this many.
 LONGEST = 128
 #: Symbols that are hashed at a time, so that memory doesn't follow a document's length.
 CHUNK = 1 << 17
+#: Words whose hashes a worker remembers, about 50 MB; then it begins anew.
+REMEMBERED = 1 << 18
+_BREAK = re.compile(rb"[\x20\x09-\x0D]")
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -80,20 +85,30 @@ def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
+class _Hashes(dict):
+    """XXH3 of words, 8 bytes each; short words are remembered."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        out = xxhash.xxh3_64_digest(word)
+        if len(word) <= 32:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = out
+        return out
+
+
+_hashes = _Hashes()
+
+
 def word_symbols(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each word, in order."""
-    begin, end = word_bounds(data)
-    if not len(begin):
-        return np.empty(0, np.uint64)
-    out = np.empty(len(begin), np.uint64)
-    at = 0
-    while at < len(begin):  # whole words, about CHUNK bytes at a time
-        to = max(at + 1, int(np.searchsorted(end, begin[at] + CHUNK, "right")))
-        base = begin[at]
-        p = _prefix(byte_symbols(memoryview(data)[base : end[to - 1]]))
-        out[at:to] = substring_hash(p, begin[at:to] - base, end[at:to] - base)
+    """A 64-bit hash of each word, in order. It routes and names; words themselves are compared elsewhere."""
+    out, at = [], 0
+    while at < len(data):
+        cut = _BREAK.search(data, at + CHUNK)
+        to = cut.start() if cut else len(data)
+        out.append(b"".join(map(_hashes.__getitem__, data[at:to].split())))
         at = to
-    return out
+    return np.frombuffer(b"".join(out), np.uint64)
 
 
 def _grams(sym: np.ndarray, k: int) -> np.ndarray:

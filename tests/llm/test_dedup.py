@@ -93,6 +93,54 @@ def test_passages(spark, crowd):
     assert {r[0]: tuple(r[1:]) for r in got} == brute_passages(rows)
 
 
+def _thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n)), "".join("ba"[i.bit_count() % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("crowd", [1000, 1])
+def test_words_of_equal_polynomials_differ(spark, crowd):
+    """Words that every polynomial hash modulo a power of two takes for one."""
+    a, b = _thue_morse(4096)
+    w = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join([*w[:20], a, *w[20:34]])), (2, " ".join([*w[:20], b, *w[20:34]])), (3, " ".join([*w[:30], a, *w[30:]])), (4, " ".join(["x", *w[:30], a, *w[30:]]))]
+    got = substring_dedup.digest(substring_dedup.remove_repeated_passages(docs(spark, rows), crowd=crowd)).collect()
+    assert {r[0]: tuple(r[1:]) for r in got} == brute_passages(rows)
+
+
+def test_texts_over_a_chunk(monkeypatch):
+    """Long documents come in overlapping chunks, and slices end at bytes."""
+    r = random.Random(8)
+    monkeypatch.setattr(segments, "CHUNK", 1000)
+    from terrapoint.llm import repeats
+
+    text = " ".join("".join(r.choices("abcde", k=r.randint(1, 6))) for _ in range(2000))
+    data = text.encode()
+    parts = list(segments.chunks([segments.byte_symbols(data)], 100))
+    assert len(parts) > 5
+    starts = [int(x) + int(shift[0]) for sym, ends, _, shift in parts for x, n in zip(*(lambda s: (s.start, s.n))(segments.segments(sym, ends, 100, 24)), strict=True) for x in range(x, x + n)]
+    assert sorted(starts) == list(range(len(data) - 99))
+    assert segments.word_symbols(data).tolist() == [int.from_bytes(xxhash.xxh3_64_digest(w), "little") for w in data.split()]
+    import pyarrow as pa
+
+    batch = pa.record_batch({"text": pa.array([text, None, "", "a", text])})
+    assert [b.num_rows for b in repeats.slices([batch], 2, most=10)] == [1, 2, 1, 1]
+
+
+def test_long_documents(spark):
+    """Over CHUNK symbols, in bytes and in words, like brute force."""
+    r = random.Random(9)
+    words = ["".join(r.choices("abcdefgh", k=r.randint(1, 6))) for _ in range(3000)]
+    long = [" ".join(r.choices(words, k=60_000)) for _ in range(2)]
+    rows = [(1, long[0]), (2, long[1] + " " + long[0][100_000:140_000] + " " + long[1][5_000:9_000]), (3, long[0][-500:])]
+    got = suffix_dedup.digest(suffix_dedup.remove_repeated_strings(docs(spark, rows))).collect()
+    assert {r[0]: tuple(r[1:]) for r in got} == brute_strings(rows)
+    rows = [(1, " ".join(r.choices(words, k=140_000))), (3, " ".join(r.choices(words, k=50)))]
+    w = rows[0][1].split()
+    rows.append((2, " ".join(w[131_000:131_300] + ["x"] + w[:40] + ["y"] + w[-36:])))
+    got = substring_dedup.digest(substring_dedup.remove_repeated_passages(docs(spark, rows))).collect()
+    assert {r[0]: tuple(r[1:]) for r in got} == brute_passages(rows)
+
+
 def test_empty_tables(spark):
     none = docs(spark, [(1, "a")]).limit(0)
     assert suffix_dedup.remove_repeated_strings(none).count() == 0
