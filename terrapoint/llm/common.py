@@ -5,15 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import forget, shared_folder, written
 
-__all__ = ["WORD_BREAK", "forget", "grouped", "shared_folder", "with_row_ids", "written"]
+__all__ = ["WORD_BREAK", "forget", "grouped", "shared_folder", "small_batches", "with_row_ids", "written"]
 
 #: A word: code points other than space and \t \n \v \f \r.
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
+#: Bytes of a batch that goes to a Python worker, about.
+BATCH = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches of texts that this session sends to Python workers, where a larger bound holds: both
+    sides of the pipe hold a whole batch, outside the heap."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = str(spark.conf.get(name)).rstrip("b")
+    if not have.isdigit() or int(have) > BATCH:
+        spark.conf.set(name, f"{BATCH}b")
+
 
 def with_row_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """(rid, id, text): rid is unique and ordered as the ids are. With carry, also rest: all columns, as a struct.

@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import segments as S
-from .common import forget, grouped, written
+from .common import forget, grouped, small_batches, written
 
 #: Different segments under one minimizer that an engine compares at once.
 CROWD = 400
 #: Symbols of one shard, about.
 SHARD = 1 << 20
+#: Bytes of texts that a task takes at a time, about.
+SLICE = 1 << 21
 
 #: engine(symbols of all strings, begin, length, rid, start) -> (string, offset) of each window found.
 Engine = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -43,11 +45,16 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """A few rows at a time, so that memory follows the longest texts and not the batches' size."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int, column: str = "text", most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time: at most `rows`, and about `most` bytes of a column of texts, or else one longer text."""
     for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
+        through = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = int(np.searchsorted(through, (through[at - 1] if at else 0) + most, "right"))
+            to = min(max(to, at + 1), at + rows)
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def _symbols(unit: str) -> Callable[[bytes], np.ndarray]:
@@ -119,7 +126,7 @@ def _pieces(unit: str, window: int, gram: int, width: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1000):
+        for batch in slices(batches, 1000, "string"):
             out: list[tuple] = []
             for r in batch.to_pylist():
                 string = r["string"]
@@ -181,6 +188,7 @@ def _distinct(strings: list[bytes]) -> np.ndarray:
     return np.fromiter((known.setdefault(w, len(known)) for s in strings for w in s.split()), np.int64)
 
 
+def _compare(unit: str, window: int, gram: int, engine: Engine, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, "m", lambda t: pc.sum(t.column("n")).as_py() + t.num_rows * (window - 1), most):
             lengths = table.column("n").to_numpy() + window - 1
@@ -188,7 +196,6 @@ def _distinct(strings: list[bytes]) -> np.ndarray:
                 shard, length = table.slice(rows.start, rows.stop - rows.start), lengths[rows]
                 strings = shard.column("string").to_pylist()
                 m, h = shard.column("m").to_numpy(), shard.column("h").to_numpy()
-def _compare(unit: str, window: int, gram: int, engine: Engine, most: int):
                 sym = np.frombuffer(b"".join(strings), np.uint8) if unit == "byte" else _distinct(strings)
                 hashed = S.byte_symbols(sym) if unit == "byte" else S.word_symbols(b" ".join(strings))
                 first, last = S.partners(hashed, np.cumsum(length) - length, length, m.view(np.uint64), window, gram)
@@ -223,6 +230,7 @@ def repeats(rows: DataFrame, unit: str, window: int, gram: int, engine: Engine,
     rows: (rid, text) with unique rid; null texts hold nothing. A window is found if it occurs more than once; with
     spare_first, only if it also starts earlier (smaller rid, or same rid and smaller start).
     """
+    small_batches(rows.sparkSession)
     texts = rows.select("rid", "text").filter("text is not null")
     repeated = written(texts.select("text").mapInArrow(_minimizers(unit, window, gram), "m long, c long").groupBy("m").agg(F.sum("c").alias("c")).filter("c > 1").select("m"))
     segs = texts.mapInArrow(_segments(unit, window, gram), "m long, h long, rid long, place long")
@@ -258,8 +266,11 @@ def covered(spans: pa.Array, sizes: np.ndarray, window: int) -> np.ndarray:
     spans = spans.fill_null([])
     flat = spans.flatten().to_numpy(zero_copy_only=False)
     start = (flat >> 9) + np.repeat(begin, np.diff(spans.offsets.to_numpy()))
-    edge = np.bincount(start, minlength=total + 1) - np.bincount(start + (flat & 511) + window - 1, minlength=total + 1)
-    return np.cumsum(edge[:total]) > 0
+    edge = np.zeros(total + 1, np.int32)
+    np.add.at(edge, start, 1)
+    np.subtract.at(edge, start + (flat & 511) + window - 1, 1)
+    np.cumsum(edge, out=edge)
+    return edge[:total] > 0
 
 
 def runs(mask: np.ndarray, sizes: np.ndarray) -> pa.Array:

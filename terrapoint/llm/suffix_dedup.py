@@ -36,15 +36,16 @@ def _remove(window: int, characters: bool):
         for batch in slices(batches, 1000):
             text = batch.column("text").fill_null("").cast(pa.large_binary())
             sizes = pc.binary_length(text).to_numpy().astype(np.int64)
-            data = np.frombuffer(b"".join(text.to_pylist()), np.uint8)
+            begin = text.buffers()[1] and np.frombuffer(text.buffers()[1], np.int64)[text.offset]
+            data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[begin or 0 :][: sizes.sum()]
             mask = covered(batch.column("spans"), sizes, window)
             if characters:
-                of = np.cumsum((data & 0xC0) != 0x80)
+                of = np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)
                 broken = np.zeros(len(data) + 1, bool)
                 broken[of[mask]] = True
                 mask = broken[of]
-            left = np.concatenate([[0], np.cumsum(~mask)])[np.concatenate([[0], np.cumsum(sizes)])]
-            kept = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(left.astype(np.int64)), pa.py_buffer(data[~mask].tobytes())])
+            left = np.concatenate([[0], np.cumsum(~mask, dtype=np.int32)])[np.concatenate([[0], np.cumsum(sizes)])]
+            kept = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(left.astype(np.int64)), pa.py_buffer(data[~mask])])
             rest = [x for x in batch.schema.names if x not in ("text", "spans")]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in rest), pa.array(sizes), kept.cast(pa.binary()), runs(mask, sizes)], [*rest, "n_bytes", "kept", "removed"])
 
