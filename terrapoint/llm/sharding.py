@@ -1,6 +1,6 @@
 """Reshards documents by minimum-cost flow: shards of near equal bytes, moving the fewest.
 
-Documents of an old shard fall into blocks by a hash of their id. The driver gets a row for each block, `old
+Documents of an old shard fall into blocks by a hash of their id, checksum and size. The driver gets a row for each block, `old
 shards x blocks` at most, whatever the corpus holds, solves the flow from old shards to new capacities, and fills the
 flows with whole blocks. Documents then follow their block.
 """
@@ -8,6 +8,7 @@ flows with whole blocks. Documents then follow their block.
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections import defaultdict
 from collections.abc import Sequence
 
@@ -21,6 +22,8 @@ from .common import written
 BLOCKS = 2048
 #: Bytes of a document besides its text.
 HEADER = 16
+#: Rows of a file that rewrite() makes, at most.
+FILE_ROWS = 1 << 20
 
 
 def min_cost_flow(supply: Sequence[int], demand: Sequence[int], cost: Sequence[Sequence[int]]) -> dict[tuple[int, int], int]:
@@ -116,14 +119,18 @@ def resharded(docs: DataFrame, old: Column, n_old: int, n_new: int, id_col: str
     bytes: within a block or so of each other, where no document is larger than a shard. A byte that stays in the shard of
     its old number costs nothing, any other costs one. size: UTF-8 bytes of the text plus 16; null texts have
     none, as empty ones. slot: the row's place in its shard, without gaps from 0, in the order of blocks, ids
-    (null first) and checksums. Rows with null or equal ids share a block; equal rows may trade slots. An empty table
+    (null first) and checksums. Rows of equal id and different texts lie in blocks of their own; rows without an id are also dealt
+    out by their place in the input, so that any number of equal ones stays even. Equal rows may trade slots. An empty table
     gives an empty result. Other columns, whatever their names, matter only as part of row.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     key = F.col(id_col).cast("long")
-    rows = written(docs.select(key.alias("id"), (F.octet_length(text) + HEADER).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), old.cast("int").alias("old"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), *rest))
+    size, checksum = (F.octet_length(text) + HEADER).cast("long"), F.crc32(text)
+    salt = F.when(key.isNull(), F.monotonically_increasing_id())
+    block = F.pmod(F.xxhash64(key, checksum, size, salt), F.lit(blocks)).cast("int")
+    rows = written(docs.select(key.alias("id"), size.alias("size"), checksum.alias("text_crc32"), old.cast("int").alias("old"), block.alias("block"), *rest))
     sums = rows.groupBy("old", "block").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).orderBy("old", "block").collect()
     total = sum(r["bytes"] for r in sums)
     capacity = [total // n_new + (j < total % n_new) for j in range(n_new)]
@@ -143,15 +150,36 @@ def resharded(docs: DataFrame, old: Column, n_old: int, n_new: int, id_col: str
     return numbered.select("id", "size", "text_crc32", "old", "shard", (F.col("first") + F.col("nth") - 1).alias("slot"), *["row"] * carry)
 
 
-def rewrite(plan: DataFrame, path: str) -> list[int]:
-    """Writes the rows of shards that change to path/shard=N, and gives their numbers. plan: resharded(..., carry=True).
+def rewrite(plan: DataFrame, path: str, file_rows: int = FILE_ROWS) -> list[int]:
+    """Replaces path/shard=N for each shard N that changes, and gives their numbers. plan: resharded(..., carry=True).
 
-    A shard whose rows neither come nor go keeps its files. Columns of the rows named shard or slot give way.
+    A shard whose rows neither come nor go keeps its files, and one that loses all its rows goes. New files are written beside
+    the shards first, under a name that readers skip; then each old folder is moved aside and the new one takes its place, so that
+    at no time the only copy of a row is gone. Old folders are deleted at the end. A file holds `file_rows` rows at most, in the order of slots.
+    Columns of the rows named shard or slot give way. An empty plan changes nothing.
     """
-    moved = plan.filter("old <> shard")
-    changed = sorted({r[0] for x in ("old", "shard") for r in moved.select(x).distinct().collect()})  # shards, not rows
+    spark = plan.sparkSession
+    moves = plan.groupBy("old", "shard").agg(F.count(F.lit(1)).alias("n")).collect()  # old shards x new ones at most
+    changed = sorted({x for r in moves if r["old"] != r["shard"] for x in (r["old"], r["shard"])})
+    if not changed:
+        return []
     names = [f.name for f in plan.schema["row"].dataType if f.name not in ("shard", "slot")]
-    plan.filter(F.col("shard").isin(changed)).select("shard", "slot", *[F.col(f"row.`{c}`") for c in names]).write.mode("overwrite").partitionBy("shard").parquet(path)
+    rows = plan.filter(F.col("shard").isin(changed)).select("shard", "slot", *[F.col(f"row.`{c}`") for c in names])
+    part = F.floor(F.col("slot") / file_rows)
+    staged, aside = (f"{path.rstrip('/')}/_{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    rows.repartition("shard", part).sortWithinPartitions("shard", "slot").write.option("maxRecordsPerFile", file_rows).partitionBy("shard").parquet(staged)
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = to(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(to(aside))
+    filled = {r["shard"] for r in moves}
+    for n in changed:
+        here, name = to(f"{path.rstrip('/')}/shard={n}"), f"shard={n}"
+        if files.exists(here) and not files.rename(here, to(f"{aside}/{name}")):
+            raise OSError(f"can't move {name} aside; its new files are in {staged}")
+        if n in filled and not files.rename(to(f"{staged}/{name}"), here):
+            raise OSError(f"can't put {name} in place; its new files are in {staged}, its old ones in {aside}")
+    for folder in (aside, staged):
+        files.delete(to(folder), True)
     return changed
 
 

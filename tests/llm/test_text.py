@@ -13,6 +13,7 @@ import pytest
 import tiktoken
 from compare import check, connect
 from conftest import DATA
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terrapoint.llm import byte_bpe, lm_scoring, mixing, quality, segments, sharding, url_filter
@@ -210,6 +211,53 @@ def test_shards(spark, tmp_path):
     assert sharding.resharded(df.limit(0), old, 3, 5).count() == 0
 
 
+def test_rewrite_keeps_every_row(spark, tmp_path):
+    """Onto a corpus that is there: what doesn't change keeps its files, an emptied shard goes, no row is lost."""
+    rows = [(i, f"t{i}" * 3, i % 3) for i in range(300)] + [(300 + i, f"u{i}" * 3, 3) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, at int")
+    path = str(tmp_path / "corpus")
+    df.withColumn("shard", F.col("at")).write.partitionBy("shard").parquet(path)
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "corpus").glob("shard=1/*")}
+    plan = sharding.resharded(df, F.col("at"), 4, 3, carry=True)
+    moved = plan.withColumn("shard", F.when(F.col("old") == 1, F.lit(1)).when(F.col("old") == 3, F.lit(0)).otherwise(F.col("old"))).withColumn("slot", F.row_number().over(Window.partitionBy("shard").orderBy("id")) - 1)
+    assert sharding.rewrite(moved, path, file_rows=50) == [0, 3]
+    back = spark.read.parquet(path).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in back) == sorted((a, b) for a, b, _ in rows)
+    assert {f: f.stat().st_mtime_ns for f in (tmp_path / "corpus").glob("shard=1/*")} == before
+    assert sorted(x.name for x in (tmp_path / "corpus").iterdir() if x.is_dir()) == ["shard=0", "shard=1", "shard=2"]
+    for file in (tmp_path / "corpus").glob("shard=0/*.parquet"):
+        assert spark.read.parquet(str(file)).count() <= 50
+    assert sharding.rewrite(moved.filter("old = shard"), path) == [] and sharding.rewrite(moved.limit(0), path) == []
+    real = sharding.rewrite(plan, path)
+    assert real and sorted(r["doc_id"] for r in spark.read.parquet(path).collect()) == list(range(330))
+
+
+def test_shards_without_ids(spark):
+    rows = [(None, "x" * (i % 200), 0) for i in range(2000)] + [(None, None, 0)] * 2000 + [(7, f"e{i}", 1) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, at int")
+    got = sharding.resharded(df, F.col("at"), 2, 10).groupBy("shard").agg(F.sum("size").alias("n"), F.count("*").alias("rows"), F.max("slot").alias("last"), F.countDistinct("slot").alias("slots")).collect()
+    size = [r["n"] for r in got]
+    assert len(got) == 10 and sum(r["rows"] for r in got) == 6000 and max(size) - min(size) < 0.02 * max(size)
+    assert all(r["last"] + 1 == r["slots"] == r["rows"] for r in got)
+
+
+def test_sharding_query(spark):
+    """Sizes, checksums, slots and the law of even bytes on the query's own table."""
+    import zlib
+
+    folder = f"{DATA}/sf0.01"
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    got = QUERIES["op2_sharding"](spark, folder).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(texts)
+    size, slots = Counter(), {}
+    for r in got:
+        assert r["size"] == len(texts[r["doc_id"]]) + 16 and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]]) and r["law"] == "bytes" and r["grown_shard"] is None
+        size[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert sorted(size) == list(range(40)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert max(size.values()) - min(size.values()) <= max(len(t) for t in texts.values()) + 16
+
+
 def test_hosts(spark):
     urls = ["http://A.Example.COM:80/en/7x?q#f", "https://example.com/en/8", "http://x.net/de/1", "http://example.net/de/81", "ftp://z.org/es/", "no scheme", None, "://h?x/y", "a://b://c/d", "http://É.com/en/", "http://com/en/1", "http://xcom/en/1", "http://a.b.co.uk/p"]
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
