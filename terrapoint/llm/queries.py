@@ -61,11 +61,12 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_sharding, op3_byte_bpe, op4_quality_rules, op5_simhash_near_dedup, op6_substring_dedup, op7_lm_scoring, op8_url_filter, op9_lattice_near_dedup, op10_source_mixing)}
-#: The others: fingerprints, merges of a vocabulary, hashes that choose shards and n-gram tables are beyond SQL.
+#: The others: fingerprints, merges of a vocabulary, and hashes that choose shards are beyond SQL.
 SQL: dict[str, str] = {
     "op1_suffix_array_dedup": sql.SUFFIX_DEDUP,
     "op4_quality_rules": quality.SQL,
     "op6_substring_dedup": sql.SUBSTRING_DEDUP,
+    "op7_lm_scoring": lm_scoring.SQL,
     "op8_url_filter": sql.URL_FILTER,
     "op9_lattice_near_dedup": sql.LATTICE_DEDUP,
     "op10_source_mixing": mixing.SQL,

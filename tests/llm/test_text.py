@@ -123,25 +123,43 @@ def test_split_characters():
     assert byte_bpe.characters([b"a\xf0\x9f"]) == ["a\ufffd"]
 
 
-@pytest.mark.parametrize("vocabulary", [65535, 8, 0])
-def test_scores(spark, vocabulary):
+def plain_scores(texts, order):
+    """Stupid backoff over exact words, as it is defined."""
+    seqs = [tuple((t or "").encode().split()) for t in texts]
+    count = Counter(s[i : i + n] for s in seqs for n in range(1, order + 1) for i in range(len(s) - n + 1))
+    total = sum(map(len, seqs))
+
+    def share(gram):
+        if len(gram) == 1:
+            return count[gram] / total
+        return count[gram] / count[gram[:-1]] if count[gram] >= 2 else 0.4 * share(gram[1:])
+
+    return [(len(s), sum(math.log10(share(s[max(0, i - order + 1) : i + 1])) for i in range(len(s)))) for s in seqs]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("frequent", [1 << 18, 50])
+def test_scores(spark, monkeypatch, order, frequent):
+    monkeypatch.setattr(lm_scoring, "FREQUENT", frequent)
     r = random.Random(2)
     words = [f"w{i}" for i in range(30)]
-    texts = [" ".join(r.choices(words, weights=range(30, 0, -1), k=r.randint(0, 40))) for _ in range(80)] + [None, "", " \n", "only", "hot hot " * 2000]
+    texts = [" ".join(r.choices(words, weights=range(30, 0, -1), k=r.randint(0, 40))) for _ in range(80)] + [None, "", " \n", "only", "hot hot " * 2000, texts_twice := " ".join(words), texts_twice]
+    a, b = ("".join("ab"[(i.bit_count() + k) % 2] for i in range(1024)) for k in (0, 1))
+    texts += [f"{a} x", f"{b} x", f"{b} y"]
     df = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, rid string")
-    got = {x["id"]: x for x in lm_scoring.scored(df, vocabulary).collect()}
-    seqs = [segments.word_symbols((t or "").encode()).tolist() for t in texts]
-    count = Counter(w for s in seqs for w in s)
-    top = sorted(count, key=lambda w: (-count[w], w - (1 << 64) if w >> 63 else w))[:vocabulary]
-    seqs = [[w if w in top else 0 for w in s] for s in seqs]
-    one, two = Counter(w for s in seqs for w in s), Counter(b for s in seqs for b in zip(s, s[1:], strict=False))
-    n = sum(one.values())
-    for i, s in enumerate(seqs):
-        want = math.log10(one[s[0]] / n) if s else 0.0
-        for a, b in zip(s, s[1:], strict=False):
-            want += math.log10(two[a, b] / one[a] if two[a, b] >= 2 else 0.4 * one[b] / n)
-        assert got[i]["n_words"] == len(s) and got[i]["score"] == pytest.approx(want, abs=1e-5)
-    assert lm_scoring.scored(df.limit(0)).count() == 0
+    got = {x["id"]: x for x in lm_scoring.scored(df, order).collect()}
+    for i, (n, score) in enumerate(plain_scores(texts, order)):
+        assert got[i]["n_words"] == n and got[i]["score"] == pytest.approx(score, abs=1e-5)
+        assert got[i]["per_word"] is None if not n else got[i]["per_word"] == pytest.approx(score / n, abs=1e-5)
+    assert lm_scoring.scored(df.limit(0), order).count() == 0
+
+
+def test_scores_of_rows_without_ids(spark):
+    texts = ["a b c", "a b c", None, "a b", "b c a b"]
+    df = spark.createDataFrame([(None if i < 3 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = Counter((r["id"], r["n_words"], round(r["score"], 4)) for r in lm_scoring.scored(df).collect())
+    want = plain_scores(texts, 2)
+    assert got == Counter((None if i < 3 else 7, n, round(s, 4) if n else 0.0) for i, (n, s) in enumerate(want))
 
 
 def test_scores_leave_no_word_out(spark):
@@ -248,7 +266,7 @@ def test_sharding_query(spark):
     folder = f"{DATA}/sf0.01"
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
     got = QUERIES["op2_sharding"](spark, folder).collect()
-    assert Counter(r["doc_id"] for r in got) == Counter(texts)
+    assert Counter(r["doc_id"] for r in got) == Counter(list(texts))
     size, slots = Counter(), {}
     for r in got:
         assert r["size"] == len(texts[r["doc_id"]]) + 16 and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]]) and r["law"] == "bytes" and r["grown_shard"] is None
