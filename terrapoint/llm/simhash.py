@@ -1,11 +1,18 @@
 """Near-duplicates by SimHash and anchor-point covering.
 
-A fingerprint's 64 bits are cut into parts of 23, 23 and 18 bits. Two fingerprints at distance 4 or less differ in
-at most one bit of the first part, or of the second, or else in none of the third. For the parts of 23 bits the anchors
-are the words of the perfect binary Golay code, whose covering radius is 3: each fingerprint has one
-home anchor within 3, and goes to every anchor within 3 + 1, 5.3 on average, so it meets at a home
-anchor all that differ from it in one bit of the part. The third part is its own anchor (radius 0). Different
-fingerprints are compared at each anchor; equal ones fold before.
+A fingerprint's 64 bits are cut into parts A, B and C of 23, 23 and 18 bits. Anchors are the words of product codes: for A or B the
+perfect binary Golay code, whose covering radius is 3, times all words (radius 0) over bits of another part. Each
+fingerprint has one home anchor within 3 in the Golay part, and goes to every anchor within 3 + 1 there, 5.3 on average, and to its own
+word in the exact part. So it meets, at a home anchor, all that differ in at most one bit of the Golay part and in none of the
+exact one. With B1, B2 and C1, C2 the halves of B and C, and A1, A2, A3 the thirds of A, two fingerprints that differ in 4 bits or less
+
+* differ in at most one bit of A and of B, and so meet at A x B1 or A x B2;
+* or are equal in A, or in B, and meet there (code of all words);
+* or else differ in at most one bit of C. If also in at most one of A (of B), they meet at A x C1 or A x C2 (B x C1 or B x C2);
+* or else differ in two bits of A, two of B and none of C, and meet at C x A1, C x A2 or C x A3.
+
+A fingerprint goes to 37 anchors, whatever the corpus holds, among 2^21 to 2^26 of each kind. Different fingerprints are compared at each anchor; equal
+ones fold before.
 """
 
 from __future__ import annotations
@@ -19,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import small_batches, written
 from .components import components, dealt, local_roots, per_block
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -29,6 +36,8 @@ _LANE = np.arange(8) * 256
 #: Fixed value: generator polynomial of the binary Golay code of length 23, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
 RADIUS = 3
+#: Fingerprints that meet in one block, at most about twice as many.
+BLOCK = 4096
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -77,28 +86,37 @@ def _errors(most: int) -> list[np.ndarray]:
     return np.split(every[by], np.flatnonzero(np.diff(rest[by])) + 1)
 
 
-def _anchors():
+def anchors(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of all anchors that fingerprints go to, and the place of the fingerprint that each one is of."""
+    if not _near:
+        lists = _errors(RADIUS + 1)
+        width = max(map(len, lists))
+        _near.append(np.array([[*x, *[-1] * (width - len(x))] for x in lists]))
+    part = lambda shift, size: (bits >> np.uint64(shift)).astype(np.int64) & (1 << size) - 1
+    a, b, c, every = part(41, 23), part(18, 23), part(0, 18), np.arange(len(bits))
+    names, whose = [], []
+    for golay, exact in ((a, (b >> 11, b & 0x7FF, c >> 9, c & 0x1FF)), (b, (c >> 9, c & 0x1FF))):
+        error = _near[0][_remainder(golay)]
+        row, column = np.nonzero(error >= 0)
+        anchor = golay[row] ^ error[row, column]
+        for x in exact:
+            names.append(anchor << 12 | x[row])
+            whose.append(row)
+    for x in (a, b, c << 8 | a >> 15, c << 8 | a >> 7 & 0xFF, c << 8 | a & 0x7F):
+        names.append(x)
+        whose.append(every)
+    return np.concatenate([x | kind << 40 for kind, x in enumerate(names)]), np.concatenate(whose)
+
+
+_near: list[np.ndarray] = []
+
+
+def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, print), one for each anchor that a fingerprint goes to."""
-    table: list[np.ndarray] = []
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not table:
-            lists = _errors(RADIUS + 1)
-            width = max(map(len, lists))
-            table.append(np.array([[*x, *[-1] * (width - len(x))] for x in lists]))
-        for batch in batches:
-            prints = batch.column("print").to_numpy()
-            bits = prints.view(np.uint64)
-            keys, whose = [(bits & np.uint64(0x3FFFF)).astype(np.int64) | 2 << 32], [np.arange(len(bits))]
-            for part, shift in enumerate((41, 18)):
-                word = (bits >> np.uint64(shift) & np.uint64(0x7FFFFF)).astype(np.int64)
-                error = table[0][_remainder(word)]
-                row, column = np.nonzero(error >= 0)
-                keys.append((word[row] ^ error[row, column]) | part << 32)
-                whose.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(prints[np.concatenate(whose)])], ["key", "print"])
-
-    return run
+    for batch in batches:
+        prints = batch.column("print").to_numpy()
+        keys, whose = anchors(prints.view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(prints[whose])], ["key", "print"])
 
 
 def _compare(distance: int):
@@ -126,17 +144,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col
     one, of all their words; empty and null texts have the fingerprint 0, which links like any other. Rows
     link at `distance` (4 at most) or fewer differing bits; component_id is the least id that links reach, the
     row's own included. Null ids don't count as least; a component without any id has none. Repeated
-    rows are rows of their own. An empty table gives an empty result.
+    rows are rows of their own. Texts are taken whole, however long, a batch of about 8 MB or one longer text at a time. An empty table gives an empty result.
     """
     if not 0 <= distance <= 4:
         raise ValueError("the anchors cover distances up to 4")
+    small_batches(docs.sparkSession)
     rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")] if carry else []
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *rest)
     schema = T.StructType([*(f for f in rows.schema if f.name != "text"), T.StructField("print", T.LongType())])
     prints = written(rows.mapInArrow(_fingerprints(shingle), schema))
     kinds = written(prints.groupBy("print").agg(F.min("id").alias("least")))
-    anchored = kinds.select("print").mapInArrow(_anchors(), "key long, print long")
-    links = per_block(dealt(anchored, "print").select("block", "print"), _compare(distance), "a long, b long")
+    anchored = kinds.select("print").mapInArrow(_anchored, "key long, print long")
+    links = per_block(dealt(anchored, "print", BLOCK).select("block", "print"), _compare(distance), "a long, b long")
     roots = written(components(links))
     reached = kinds.join(roots, F.col("print") == F.col("node"), "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     least = written(reached.groupBy("root").agg(F.min("least").alias("component_id")))

@@ -218,7 +218,7 @@ def brute_components(ids, linked):
 
 
 def test_simhash(spark, monkeypatch):
-    monkeypatch.setattr(components, "BLOCK", 4)
+    monkeypatch.setattr(simhash, "BLOCK", 4)
     r = random.Random(6)
     rows = corpus(7, 40)
     base = r.choices("alpha beta gamma delta epsilon zeta eta theta".split(), k=300)
@@ -239,6 +239,27 @@ def test_anchors_cover():
     assert all(np.bitwise_count(x[0]) <= simhash.RADIUS for x in lists)
 
 
+def test_fingerprints_within_four_bits_meet():
+    """All patterns of bits by parts, at random places: some anchor is shared, and the home anchor is among a fingerprint's own."""
+    r = np.random.default_rng(11)
+    parts = [np.arange(41, 64), np.arange(18, 41), np.arange(18)]
+    for da in range(5):
+        for db in range(5 - da):
+            for dc in range(5 - da - db):
+                x = r.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2) + r.integers(0, 2, 300, dtype=np.uint64)
+                y = x.copy()
+                for i in range(300):
+                    for bits, n in zip(parts, (da, db, dc), strict=True):
+                        for b in r.choice(bits, n, replace=False):
+                            y[i] ^= np.uint64(1) << np.uint64(b)
+                names, whose = simhash.anchors(x)
+                others, of = simhash.anchors(y)
+                mine = set(zip(whose.tolist(), names.tolist(), strict=True))
+                met = {i for i, name in zip(of.tolist(), others.tolist(), strict=True) if (i, name) in mine}
+                assert len(met) == 300, (da, db, dc)
+    assert 36 < len(names) / 300 < 38
+
+
 def test_null_ids_in_components(spark):
     got = simhash.near_duplicates(docs(spark, [(None, "a b c d e"), (None, "a b c d e"), (3, "q r s"), (2, "q r s")]), carry=True).collect()
     assert Counter((r["id"], r["component_id"]) for r in got) == Counter([(None, None), (None, None), (3, 2), (2, 2)])
@@ -290,18 +311,23 @@ def test_vectors(spark, monkeypatch, kind):
     assert sum(links) > 100
 
 
-def test_recall_of_lattice():
+@pytest.mark.parametrize("dim", [8, 64, 256, 768, 1536])
+def test_recall_of_lattice(dim):
+    """Pairs at the threshold meet; few of those that are unrelated do, whatever the dimension."""
     r = np.random.default_rng(9)
-    a = r.standard_normal((4000, 64))
+    n = 2000
+    a = r.standard_normal((n, dim))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
-    b = r.standard_normal((4000, 64))
+    b = r.standard_normal((n, dim))
     b -= (a * b).sum(axis=1, keepdims=True) * a
     b /= np.linalg.norm(b, axis=1, keepdims=True)
     b = 0.98 * a + np.sqrt(1 - 0.98**2) * b
     o = lattice.Tables()
-    x, y = lattice.cells(a, np.zeros(4000), o), lattice.cells(b, np.zeros(4000), o)
-    met = np.any([(x[:, t, :1] == y[:, t]).any(axis=1) | (y[:, t, :1] == x[:, t]).any(axis=1) for t in range(o.tables)], axis=0)
-    assert met.mean() > 0.999
+    x, y = lattice.cells(a, np.zeros(n), o), lattice.cells(b, np.zeros(n), o)
+    meet = lambda x, y: np.any([(x[:, t, :1] == y[:, t]).any(axis=1) | (y[:, t, :1] == x[:, t]).any(axis=1) for t in range(o.tables)], axis=0)
+    assert meet(x, y).mean() > 0.99
+    if dim > 8:
+        assert np.mean([meet(x, np.roll(x, k, axis=0)).mean() for k in range(1, 20)]) < 0.01
 
 
 def test_e8_decoding():
