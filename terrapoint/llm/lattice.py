@@ -4,11 +4,12 @@ A table projects unit vectors on 8 random orthogonal directions, scales, and dec
 A vector lies in the cell of its nearest point, its home, and also visits the cells of the next nearest
 neighbours of that point. Pairs of a home and any member of its cell are verified by cosine, in blocks. A pair
 is counted in the first table, and there in the lesser cell, where it meets, which both vectors' lists of cells tell.
-Equal vectors fold into one before, with their number as weight.
+Equal vectors fold into one before, named by 128 bits, with their number as weight.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,18 +18,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import BATCH, small_batches, written
 from .components import components, dealt, local_roots, per_block
 from .segments import mix
 
 
 @dataclass(frozen=True)
 class Tables:
-    """tables; neighbouring cells that a vector visits in each; length of a unit vector that one lattice unit stands for."""
+    """tables; neighbouring cells that a vector visits in each; what one lattice unit stands for, in root mean squares of a
+    unit vector's projections, which are 1 / sqrt(dimension): so recall and selectivity are the same in any dimension."""
 
     tables: int = 4
     visits: int = 4
-    cell: float = 0.16
+    cell: float = 1.28
     seed: int = 7
 
 
@@ -82,7 +84,7 @@ def cells(unit: np.ndarray, label: np.ndarray, options: Tables) -> np.ndarray:
     out = np.empty((len(unit), options.tables, 1 + options.visits), np.uint64)
     for t in range(options.tables):
         directions = np.linalg.qr(rng.standard_normal((max(unit.shape[1], 8), 8)))[0][: unit.shape[1]]
-        x = unit @ directions / options.cell
+        x = unit @ directions * (math.sqrt(unit.shape[1]) / options.cell)
         home = decode_e8(x)
         # the neighbours nearest to x are those that lie most in the direction of x - home
         toward = (x - home) @ ROOTS.T
@@ -114,9 +116,10 @@ def _place(options: Tables, item: type):
                     lists_ = [x.tobytes() for x in named]
                     vectors = [x.tobytes() for x in v.astype(item)]
                     ids, weight = batch.column("cid").to_numpy()[rows], batch.column("weight").to_numpy()[rows]
-                    for a in range(0, n * each, 20_000):
-                        w = which[a : a + 20_000]
-                        columns = [named.reshape(-1)[a : a + 20_000].view(np.int64), ids[w], weight[w], table[a : a + 20_000], home[a : a + 20_000]]
+                    step = max(1, BATCH // (8 * (each + int(dim))))
+                    for a in range(0, n * each, step):
+                        w = which[a : a + step]
+                        columns = [named.reshape(-1)[a : a + step].view(np.int64), ids[w], weight[w], table[a : a + step], home[a : a + step]]
                         binary = [pa.array([x[i] for i in w], pa.binary()) for x in (lists_, vectors)]
                         yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in columns), *binary], ["key", "cid", "weight", "table", "home", "cells", "vector"])
 
@@ -181,18 +184,21 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, options: Tables |
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("vector"), F.col(label_col).cast("long").alias("label"))
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     sound = F.coalesce(F.col("label").isNotNull() & finite, F.lit(False))
-    rows = rows.withColumn("cid", F.when(sound, F.xxhash64("label", F.transform(v, lambda x: x + F.lit(0).cast(kind)))))
-    classes = written(rows.filter("cid is not null").groupBy("cid").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.count(F.lit(1)).alias("weight"), F.min("id").alias("least")))
+    small_batches(vectors.sparkSession)
+    plain = F.transform(v, lambda x: x + F.lit(0).cast(kind))
+    rows = rows.withColumn("name", F.when(sound, F.struct(F.xxhash64("label", plain).alias("a"), F.xxhash64(F.lit(1), "label", plain).alias("b"))))
+    folded = rows.filter("name is not null").groupBy("name").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.count(F.lit(1)).alias("weight"), F.min("id").alias("least"))
+    classes = written(folded.withColumn("cid", F.monotonically_increasing_id()))
     placed = classes.select("cid", "label", "vector", "weight").mapInArrow(_place(options, item), PLACED)
     found = written(per_block(dealt(placed, "cid"), _compare(options, cosine, item), "cid long, links long, root long"))
     counts = found.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     reached = classes.join(counts, "cid", "left").join(roots, F.col("cid") == F.col("node"), "left")
-    reached = written(reached.select("cid", "least", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root")))
+    reached = written(reached.select("name", "least", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root")))
     least = written(reached.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = written(reached.join(least, "root").select("cid", "n_links", "component_id"))
-    out = rows.select("id", "cid").join(named, "cid", "left")
-    component = F.when(F.col("cid").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    named = written(reached.join(least, "root").select("name", "n_links", "component_id"))
+    out = rows.select("id", "name").join(named, "name", "left")
+    component = F.when(F.col("name").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
