@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .url_filter import ADDRESS as _ADDRESS
 from .url_filter import LOWER, RULES, UPPER
 
 #: Texts as hex digits, two for a byte; windows of 100 bytes by their digest.
@@ -63,9 +64,10 @@ with u as (select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([
   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path from pages),
 o as (select doc_id as id, count(*) as n, sum(1 - quality) as bad from labels where doc_id is not null and quality is not null group by doc_id),
 k as (select host, coalesce(sum(n), 0)::double as n, coalesce(sum(bad), 0)::double as bad from u left join o on page_id = id group by host),
-h as (select *, coalesce((select max(x) from (values ('co.uk'), ('org.uk'), ('ac.uk'), ('com.au'), ('co.jp'), ('com.br'), ('co.in')) s(x) where host = x or ends_with(host, '.' || x)),
-  list_extract(string_split(host, '.'), -1)) as suffix from k),
-hd as (select *, case when length(host) > length(suffix) then list_extract(string_split(substr(host, 1, length(host) - length(suffix) - 1), '.'), -1) || '.' || suffix else host end as domain from h),
+k1 as (select *, regexp_replace(regexp_replace(host, ':[0-9]*$', ''), '\\.+$', '') as name from k),
+h as (select *, case when regexp_matches(name, '{_ADDRESS}') then name else coalesce((select max(x) from (values ('co.uk'), ('org.uk'), ('ac.uk'), ('com.au'), ('co.jp'), ('com.br'), ('co.in')) s(x) where name = x or ends_with(name, '.' || x)),
+  list_extract(string_split(name, '.'), -1)) end as suffix from k1),
+hd as (select *, case when length(name) > length(suffix) then list_extract(string_split(substr(name, 1, length(name) - length(suffix) - 1), '.'), -1) || '.' || suffix else name end as domain from h),
 dm as (select domain, suffix, sum(n) as n, sum(bad) as bad from hd group by all),
 tp as (select suffix, sum(n) as n, sum(bad) as bad from dm group by all),
 g as (select (sum(bad) + 1) / (sum(n) + 2) as rate from tp),

@@ -31,6 +31,8 @@ class Rule:
 
 RULES = (Rule("block", "com/en/"), Rule("allow", "example.com/en/7"), Rule("allow", "net/de/"), Rule("block", "example.net/de/8"), Rule("block", "org/es/"))
 
+#: Numbers as IPv4 has them, or brackets as IPv6 has.
+ADDRESS = "^([0-9]+([.][0-9]+){3}|\\[.*\\])$"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -43,12 +45,17 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
+def name_of(host: Column) -> Column:
+    """The host without its port and trailing dots."""
+    return F.regexp_replace(F.regexp_replace(host, ":[0-9]*$", ""), "\\.+$", "")
+
+
 def suffix_of(host: Column, suffixes: Sequence[str]) -> Column:
-    """The public suffix: the longest of `suffixes` that ends the host, or its last label."""
+    """The public suffix: the longest of `suffixes` that ends the host, or its last label. An address is its own."""
     out = F.substring_index(host, ".", -1)
     for s in sorted(suffixes, key=len):
         out = F.when((host == s) | host.endswith("." + s), F.lit(s)).otherwise(out)
-    return out
+    return F.when(host.rlike(ADDRESS), host).otherwise(out)
 
 
 def domain_of(host: Column, suffix: Column) -> Column:
@@ -80,15 +87,16 @@ def judged(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule] = RULES,
     if its host is bad beyond doubt, bound > worst. The longest rule that fits its host and path goes before. Null urls, and those
     without ://, have an empty host and path, which share a reputation like any host. Hosts without labels have their
     domain's mean. Without any label the overall mean is a half and nothing is blocked. Outcomes with a null id or
-    null bad don't count; rows with equal or null ids are judged one by one. An empty table gives an empty result. Other columns
+    null bad don't count. Ports and trailing dots make hosts of their own, but of one domain; addresses have no domain above them.
+    suffixes: public suffixes of two labels or more, as from a published list. Very long urls are read whole. Rows with equal or null ids are judged one by one. An empty table gives an empty result. Other columns
     aren't read.
     """
     host = host_of(F.col(url_col).cast("string"))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url")).select("id", host.alias("host"), path_of(F.col("url")).alias("path"))
     labels = outcomes.filter("id is not null and bad is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
     known = rows.select("id", "host").join(labels, "id", "left").groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    suffix = suffix_of(F.col("host"), suffixes)
-    hosts = written(known.withColumn("suffix", suffix).withColumn("domain", domain_of(F.col("host"), F.col("suffix"))))
+    known = known.withColumn("name", name_of(F.col("host")))
+    hosts = written(known.withColumn("suffix", suffix_of(F.col("name"), suffixes)).withColumn("domain", domain_of(F.col("name"), F.col("suffix"))).drop("name"))
     domains = written(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     tops = written(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     whole = tops.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()

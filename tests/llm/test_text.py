@@ -287,6 +287,10 @@ def test_hosts(spark):
     assert got[4][2:] == ("org/es/", "block") and got[5] == got[6] == ("", "", None, "allow")
     assert got[7] == ("h", "", None, "allow") and got[8][:2] == ("b:", "//c/d")
     assert got[9] == ("É.com", "/en/", "com/en/", "block") and got[10][3] == "block" and got[11][2] is None
+    known = {"http://10.0.3.4/": "10.0.3.4", "http://99.9.3.4:80/": "99.9.3.4", "http://a.example.com.:443/": "example.com", "http://[::1]:8/": "[::1]", "http://1.2.3.4.5/": "4.5"}
+    for url, domain in known.items():
+        name = url_filter.name_of(url_filter.host_of(F.lit(url)))
+        assert df.select(url_filter.domain_of(name, url_filter.suffix_of(name, ()))).first()[0] == domain
     row = df.select(url_filter.domain_of(F.lit("a.b.co.uk"), url_filter.suffix_of(F.lit("a.b.co.uk"), ("co.uk",)))).first()
     assert row[0] == "b.co.uk"
     assert url_filter.judged(df.limit(0), labels).count() == 0
