@@ -44,7 +44,7 @@ def targets(sizes: DataFrame, weights: Sequence[float], most: float) -> DataFram
     return known.select("source", "source_size", F.when(stops, F.col("cap")).otherwise(level * F.col("weight")).alias("target"))
 
 
-def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", bins: int = BIN) -> DataFrame:
+def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", bins: int = BIN, size_col: str | None = None) -> DataFrame:
     """(row, size, source_size, target, finish, times): one row for each document; row holds its columns as a struct.
 
     Each source's documents are shuffled by a hash of id and size, which is the same in every run, and queue up
@@ -53,26 +53,26 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3,
     takes them up to the last finish time at which the words taken stay within the total of all sizes. times: how
     often the mix takes the document; finish: its first finish time.
 
-    Size: words of the text, 0 for null texts. Null sources are a source of their own. A document of a source
+    Size: words of the text, 0 for null texts, or what size_col has, so that texts need not travel. Null sources are a source of their own. A document of a source
     without words finishes at 0 and is taken once, with no words. Documents of equal key (equal id
     and size) follow each other; equal rows may trade places, which changes no result. Documents that
     finish together are taken or left together. An empty table gives an empty result. Extra columns stay in `row`.
     Prefix sums take two levels: bins of the shuffle key within a source, then documents within a bin, so that no
     task holds a whole source.
     """
-    size = word_count(F.col(text_col).cast("string"))
+    size = F.coalesce(F.col(size_col).cast("long"), F.lit(0).cast("long")) if size_col else word_count(F.col(text_col).cast("string"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).cast("string").alias("source"), F.col(id_col).cast("string").alias("id"), size.alias("size"))
     key = F.md5(F.concat(F.coalesce("id", F.lit("")), F.lit("|"), F.col("size").cast("string")).cast("binary"))
-    rows = rows.withColumn("key", key).withColumn("bin", F.substring("key", 1, bins))
-    narrow = rows.select("source", "bin", "key", "id", "size")
-    binned = written(narrow.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")))
+    rows = rows.withColumn("key", key).withColumn("bin", F.substring("key", 1, bins)).withColumn("named", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull())
+    binned = written(rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")))
     by_source = targets(binned.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, float(most))
     before = F.sum("bin_size").over(W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1))
-    offsets = binned.withColumn("before", F.coalesce(before, F.lit(0))).alias("b").join(by_source.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).select("b.source", "b.bin", "before", "source_size", "target")
-    inside = W.partitionBy("source", "bin").orderBy("key", "id").rowsBetween(W.unboundedPreceding, 0)
+    offsets = binned.withColumn("before", F.coalesce(before, F.lit(0))).alias("b").join(by_source.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).select(F.coalesce("b.source", F.lit("")).alias("named"), F.col("b.source").isNull().alias("none"), "b.bin", "before", "source_size", "target")
+    # merged where the window's shuffle has put them: 16 ** bins rows for each of any number of sources are not for a broadcast
+    inside = W.partitionBy("named", "none", "bin").orderBy("key", "id").rowsBetween(W.unboundedPreceding, 0)
     queued = (
-        rows.withColumn("inside", F.sum("size").over(inside)).alias("d")
-        .join(written(offsets).alias("o"), F.col("d.source").eqNullSafe(F.col("o.source")) & (F.col("d.bin") == F.col("o.bin")))
+        rows.withColumn("inside", F.sum("size").over(inside))
+        .join(written(offsets).hint("merge"), ["named", "none", "bin"])
         .select("row", "size", "key", "source_size", "target", (F.col("before") + F.col("inside")).alias("through"))
     )
     queued = written(queued)

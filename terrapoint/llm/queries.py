@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, lattice, lm_scoring, mixing, quality, sharding, simhash, sql, substring_dedup, suffix_dedup, url_filter
+from .common import written
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +58,9 @@ def op9_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.digest(mixing.mixed(_documents(spark, sf_dir)))
+    """Words are counted once; texts don't travel."""
+    docs = _documents(spark, sf_dir).select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    return mixing.digest(mixing.mixed(written(docs), size_col="size"))
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_sharding, op3_byte_bpe, op4_quality_rules, op5_simhash_near_dedup, op6_substring_dedup, op7_lm_scoring, op8_url_filter, op9_lattice_near_dedup, op10_source_mixing)}
