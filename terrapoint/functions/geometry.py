@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -22,12 +23,14 @@ def decoded(transform: Transform, prefix: str = "w") -> list[Column]:
     return [(F.col(a).cast("double") * F.lit(s) + F.lit(o)).alias(prefix + a) for a, s, o in zip(AXES, transform.scale, transform.offset, strict=True)]
 
 
-def local_decoded(transform: Transform, bounds: Box) -> list[Column]:
-    """Coordinates relative to the middle of the bounds, subtracted as integers before the product, which keeps digits."""
+def local_decoded(transform: Transform, bounds: Box, world_origin: Sequence[float] = (0.0, 0.0, 0.0)) -> list[Column]:
+    """Coordinates relative to a world origin. The middle of the bounds is subtracted as an integer before the product, which keeps
+    digits; then where that middle lies from the origin, one number for all points, is added."""
     out = []
     for i, a in enumerate(AXES):
-        origin = int((bounds.min[i] + bounds.max[i]) / 2)
-        out.append(((F.col(a).cast("long") - F.lit(origin)).cast("double") * F.lit(transform.scale[i])).alias("l" + a))
+        middle = math.trunc(bounds.min[i] + (bounds.max[i] - bounds.min[i]) / 2)
+        away = middle * transform.scale[i] + transform.offset[i] - world_origin[i]
+        out.append(((F.col(a).cast("long") - F.lit(middle)).cast("double") * F.lit(transform.scale[i]) + F.lit(away)).alias("l" + a))
     return out
 
 
@@ -95,10 +98,43 @@ def box_edges(low: Sequence[str], high: Sequence[str]) -> Column:
     return F.array(*ends)
 
 
+def _fixed(c: Column, digits: int) -> Column:
+    """A double with so many digits after the point and no grouping; of two that are equally near the one further from zero."""
+    scaled = F.abs(c) * F.lit(float(2 ** (digits + 1)))
+    tie = (scaled == F.floor(scaled)) & (scaled % 2 == 1)  # only such doubles lie halfway
+    nudged = c + F.when(tie, F.signum(c) * F.lit(10.0 ** -(digits + 2))).otherwise(F.lit(0.0))
+    return F.replace(F.format_number(nudged, digits), F.lit(","), F.lit(""))
+
+
 def short_number(c: Column) -> Column:
-    """1234 as 1.2k, 1234567 as 1.2m, below that whole."""
-    return F.when(c >= 1e6, F.concat(F.format_number(c / 1e6, 1), F.lit("m"))).when(c >= 1e3, F.concat(F.format_number(c / 1e3, 1), F.lit("k"))).otherwise(F.format_number(c, 0))
+    """At most one digit after the point, with k, m, b or t for thousands up to billions of thousands: 1000 is 1k, 1250000 is 1.3m, 999950 is
+    1m. Halves go away from zero; beyond 10,000t there is grouping."""
+    exact = c.cast("decimal(32,6)")
+    plain = lambda x: F.regexp_replace(x, "\\.0$", "")
+    out = plain(_fixed(F.round(exact, 1).cast("double"), 1))
+    for power, unit in ((3, "k"), (6, "m"), (9, "b"), (12, "t")):
+        near = F.round(exact, 1 - power)
+        value = near.cast("double") / F.lit(float(10**power))
+        text = F.concat(plain(F.when(F.abs(value) < 10_000, _fixed(value, 1)).otherwise(F.format_number(value, 1))), F.lit(unit))
+        # the unit below holds as long as what it would show is under a thousand
+        shown = F.round(exact, 1) if power == 3 else F.round(exact, 4 - power)
+        out = F.when(F.abs(shown) >= F.lit(10 ** power), text).otherwise(out)
+    return out
 
 
 def short_bytes(c: Column) -> Column:
-    return F.when(c >= 1e6, F.concat(F.format_number(c / 1e6, 1), F.lit(" MB"))).when(c >= 1e3, F.concat(F.format_number(c / 1e3, 1), F.lit(" kB"))).otherwise(F.concat(F.format_number(c, 0), F.lit(" B")))
+    """Whole bytes below 1000, kB with one digit below a million, MB with two."""
+    value = c.cast("double")
+    small = F.concat(F.regexp_replace(c.cast("string"), "\\.0$", ""), F.lit(" B"))
+    return F.when(value < 1e3, small).when(value < 1e6, F.concat(_fixed(value / F.lit(1e3), 1), F.lit(" kB"))).otherwise(F.concat(_fixed(value / F.lit(1e6), 2), F.lit(" MB")))
+
+
+def grouped_integer(c: Column) -> Column:
+    """1234567 as 1,234,567."""
+    return F.format_number(c, 0)
+
+
+def coordinate(c: Column) -> Column:
+    """Six digits after the point at most, without zeros at the end."""
+    out = F.regexp_replace(F.regexp_replace(_fixed(c.cast("double"), 6), "0+$", ""), "\\.$", "")
+    return F.when(out == "-0", F.lit("0")).otherwise(out)

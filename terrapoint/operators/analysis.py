@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,7 +27,7 @@ def median_trial(df: DataFrame, keys: Sequence[str], value: str, trial: str) ->
     """The row of the middle trial by value, ties by trial; groups must have an odd number of rows."""
     by = W.partitionBy(*keys)
     counted = df.withColumn("_n", F.count(F.lit(1)).over(by)).withColumn("_k", F.row_number().over(by.orderBy(value, trial)))
-    odd = F.when(F.col("_n") % 2 == 0, F.raise_error(F.lit("an odd sample count is required to select an actual median trial"))).otherwise(F.col("_k") == F.ceil(F.col("_n") / 2))
+    odd = F.when(F.col("_n") % 2 == 0, F.raise_error(F.lit("an even number of trials has no middle one"))).otherwise(F.col("_k") == F.ceil(F.col("_n") / 2))
     return counted.filter(odd).drop("_n", "_k")
 
 
@@ -36,17 +38,38 @@ def relative(df: DataFrame, baseline: Column, per: Sequence[str], values: Sequen
     return df.withColumns(new)
 
 
-def pareto(df: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
+def pareto(df: DataFrame, values: Sequence[str]) -> DataFrame:
     """Rows that no other row beats: at most as much in every value and less in one; rows equal in all beat neither.
 
-    For tables of configurations, which have tens of rows: the join has no equality, so it loops over pairs.
+    Each task keeps the rows that none of its own beats, a batch at a time; those of all tasks meet in one, which sees what is left
+    of each and not the table. A row with a null value beats nothing and isn't beaten.
     """
-    a, b = df.alias("a"), df.alias("b")
-    no_more = less = None
-    for v in values:
-        le, lt = F.col(f"b.{v}") <= F.col(f"a.{v}"), F.col(f"b.{v}") < F.col(f"a.{v}")
-        no_more, less = (le, lt) if no_more is None else (no_more & le, less | lt)
-    return a.join(b, no_more & less & (F.col(f"a.{key}") != F.col(f"b.{key}")), "left_anti")
+    names = list(values)
+
+    def front(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                some = pa.Table.from_batches([batch.slice(k, 1000)])
+                kept = some if kept is None else pa.concat_tables([kept, some])
+                v = np.stack([kept.column(n).to_numpy().astype(float) for n in names])
+                beaten = np.zeros(kept.num_rows, bool)
+                for at in range(0, kept.num_rows, 256):
+                    other = v[:, None, :] <= v[:, at : at + 256, None]
+                    less = v[:, None, :] < v[:, at : at + 256, None]
+                    beaten[at : at + 256] = (other.all(axis=0) & less.any(axis=0)).any(axis=1)
+                kept = kept.filter(pa.array(~beaten)).combine_chunks()
+        if kept is not None:
+            yield from kept.to_batches()
+
+    return df.mapInArrow(front, df.schema).repartition(1).mapInArrow(front, df.schema)
+
+
+def by_rows(df: DataFrame, rows: str, name: str) -> DataFrame:
+    """df in the order that reports have, by rows and then by name, with place from 1: a sort over all tasks."""
+    from .ranks import ranked
+
+    return ranked(df, [], [rows, name], "place").withColumn("place", F.col("place") + 1)
 
 
 def consistent(df: DataFrame, keys: Sequence[str], signature: Sequence[str]) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,10 +29,19 @@ def with_world(df: DataFrame, transform: Transform) -> DataFrame:
     return df.withColumns(new)
 
 
-def row_groups(packed: DataFrame, transform: Transform, ratio: int, levels: int) -> DataFrame:
+def counted(points: DataFrame, *finer: str) -> DataFrame:
+    """point_count and integer bounds of each row group, or of each page with finer = "page"."""
+    return points.groupBy("resolution", "row_group", *finer).agg(F.count(F.lit(1)).alias("point_count"), *_bounds())
+
+
+def row_groups(packed: DataFrame, transform: Transform, ratio: int, levels: int, counted_before: bool = False) -> DataFrame:
     """A row for each group: index over all levels, resolution, row_group (in the level), point_count, row_start, row_end,
-    geometric_error, integer and world bounds."""
-    groups = packed.groupBy("resolution", "row_group").agg(F.count(F.lit(1)).alias("point_count"), *_bounds())
+    geometric_error, integer and world bounds. packed: points, or with counted_before counted(points, "page")."""
+    if counted_before:
+        bounds = [*[F.min(c).alias(c) for c in LOW], *[F.max(c).alias(c) for c in HIGH]]
+        groups = packed.groupBy("resolution", "row_group").agg(F.sum("point_count").alias("point_count"), *bounds)
+    else:
+        groups = counted(packed)
     order = W.orderBy("resolution", "row_group")  # of groups, a quarter million points each
     groups = groups.withColumn("index", (F.row_number().over(order) - 1).cast("int"))
     groups = groups.withColumn("row_end", F.sum("point_count").over(order.rowsBetween(W.unboundedPreceding, 0)))
@@ -38,9 +50,9 @@ def row_groups(packed: DataFrame, transform: Transform, ratio: int, levels: int)
     return with_world(groups.withColumn("geometric_error", error), transform)
 
 
-def pages(packed: DataFrame, groups: DataFrame, transform: Transform) -> DataFrame:
-    """A row for each page: index of its group, resolution, page, point_count and bounds."""
-    out = packed.groupBy("resolution", "row_group", "page").agg(F.count(F.lit(1)).alias("point_count"), *_bounds())
+def pages(packed: DataFrame, groups: DataFrame, transform: Transform, counted_before: bool = False) -> DataFrame:
+    """A row for each page: index of its group, resolution, page, point_count and bounds. packed: as in row_groups()."""
+    out = packed if counted_before else counted(packed, "page")
     return with_world(out.join(groups.select("resolution", "row_group", "index"), ["resolution", "row_group"]), transform)
 
 
@@ -88,22 +100,41 @@ def metrics(groups: DataFrame, found: DataFrame, box: Box, level: int) -> DataFr
     return counted.join(F.broadcast(matched))  # one row each
 
 
+def footer_groups(chunks: DataFrame) -> DataFrame:
+    """A row for each row group as the footers have it (see sources.files.footers), pivoted: file, row_group in the file, point_count, bounds;
+    null bounds where a column has no statistics."""
+    side = lambda a, m, name: F.max(F.when(F.col("column_name") == a, F.col(m))).alias(name)
+    bounds = [*[side(a, "least", lo) for a, lo in zip(AXES, LOW, strict=True)], *[side(a, "greatest", hi) for a, hi in zip(AXES, HIGH, strict=True)]]
+    level = F.regexp_extract("file", "resolution=([0-9]+)/", 1).cast("tinyint").alias("resolution")
+    return chunks.groupBy("file", level, "row_group").agg(F.any_value("rows").alias("point_count"), *bounds)
+
+
 def coalesced_ranges(reads: DataFrame, max_gap: int = 32 * 1024, max_request: int = 2 * 1024 * 1024) -> DataFrame:
-    """(start, end) of the requests that fetch reads (file, start, end): sorted, and merged over gaps of up to max_gap as long as a
-    request stays within max_request. A single larger read is a request. An estimator: Spark's own reader merges by itself."""
-    ordered = reads.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("reads"))
-    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-
-    def step(done: Column, r: Column) -> Column:
-        last = F.element_at(done, -1)
-        end = F.greatest(last["end"], r["end"])
-        fits = (F.size(done) > 0) & (r["start"] - last["end"] <= max_gap) & (end - last["start"] <= max_request)
-        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), end.alias("end"))))
-        return F.when(fits, grown).otherwise(F.concat(done, F.array(F.struct(r["start"].cast("bigint").alias("start"), r["end"].cast("bigint").alias("end")))))
-
-    # try_element_at on an empty list is null, and then nothing fits
-    def safe(done: Column, r: Column) -> Column:
-        return F.when(F.size(done) == 0, F.array(F.struct(r["start"].cast("bigint").alias("start"), r["end"].cast("bigint").alias("end")))).otherwise(step(done, r))
-
-    merged = ordered.select("file", F.aggregate("reads", empty, safe).alias("requests"))
-    return merged.select("file", F.explode("requests").alias("r")).select("file", "r.start", "r.end")
+    """(file, start, end) of the requests that fetch reads (file, start, end): sorted, and merged over gaps of up to max_gap as long as a
+    request stays within max_request. A single larger read is a request. An estimator: Spark's own reader merges by itself.
+
+    Each request depends on the one before, so a file's reads pass one task in order, in a stream: a step for each, whatever their number.
+    """
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            out = []
+            for file, start, end in zip(*(batch.column(c).to_pylist() for c in ("file", "start", "end")), strict=True):
+                if held and held[0] == file and start - held[2] <= max_gap and max(held[2], end) - held[1] <= max_request:
+                    held[2] = max(held[2], end)
+                else:
+                    if held:
+                        out.append(held)
+                    held = [file, start, end]
+            yield rows(out, batch.schema.field("file").type)
+            kind = batch.schema.field("file").type
+        if held:
+            yield rows([held], kind)
+
+    def rows(found: list, kind: pa.DataType) -> pa.RecordBatch:
+        columns = zip(*found, strict=True) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (kind, pa.int64(), pa.int64()), strict=True)], ["file", "start", "end"])
+
+    ordered = reads.select("file", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).repartition("file").sortWithinPartitions("file", "start", "end")
+    return ordered.mapInArrow(merge, ordered.schema)

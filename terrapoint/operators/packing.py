@@ -92,7 +92,7 @@ def with_place(paged: DataFrame, order: str) -> DataFrame:
         keys: list = ["source_index"]
     elif order == "gps-time":
         if "gps_time" not in paged.columns:
-            raise ValueError("gps-time order requires a LAS point format with GPS time")
+            raise ValueError("points without gps_time can't be put in its order")
         keys = [total_order(F.col("gps_time")), F.col("source_index")]
     else:
         low = [F.min(a).over(page).cast("long") for a in AXES]

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ class View:
 
     def check(self) -> None:
         if not (self.viewport_height > 0 and self.fov_degrees > 0 and self.pixel_threshold >= 0 and self.point_budget > 0):
-            raise ValueError("camera parameters must be positive and the pixel threshold non-negative")
+            raise ValueError("height, angle and budget must exceed 0, and the threshold can't be below it")
 
 
 def activated(groups: DataFrame, errors: Sequence[float], box: Box, view: View, in_view: Callable[[Sequence[str], Sequence[str]], Column] | None = None) -> DataFrame:
@@ -51,20 +52,23 @@ def selected(groups: DataFrame, errors: Sequence[float], box: Box, view: View, i
     """(index, resolution, point_count, activation) of the groups to read.
 
     Most needed first, a group that would pass the point budget is left out and the next one tried; mandatory groups
-    always count. That is no running sum: it folds over the sorted catalogue, a row for each quarter million points.
+    always count. That is no running sum: the sorted catalogue, a row for each quarter million points, streams through one task, which
+    holds the total and nothing else.
     """
-    wanted = activated(groups, errors, box, view, in_view).filter("wanted")
-    item = F.struct((-F.col("activation")).alias("a"), F.col("resolution").alias("r"), F.col("index").alias("i"), F.col("point_count").alias("n"), F.col("mandatory").alias("m"))
-    listed = wanted.agg(F.sort_array(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<int>").alias("chosen"))
-
-    def step(state: Column, g: Column) -> Column:
-        fits = g["m"] | (state["total"] + g["n"] <= F.lit(float(view.point_budget)))
-        total = F.when(fits, state["total"] + g["n"]).otherwise(state["total"]).cast("long")
-        return F.struct(total.alias("total"), F.when(fits, F.array_append(state["chosen"], g["i"])).otherwise(state["chosen"]).alias("chosen"))
-
-    chosen = listed.select(F.explode(F.aggregate("items", start, step)["chosen"]).alias("index"))
-    return wanted.join(chosen, "index", "left_semi").select("index", "resolution", "point_count", "activation")
+    budget, names = view.point_budget, ["index", "resolution", "point_count", "activation"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            fits = []
+            for n, needed in zip(batch.column("point_count").to_pylist(), batch.column("mandatory").to_pylist(), strict=True):
+                fits.append(needed or total + n <= budget)
+                total += n if fits[-1] else 0
+            yield batch.filter(pa.array(fits, pa.bool_())).select(names)
+
+    wanted = activated(groups, errors, box, view, in_view).filter("wanted").select(*names, "mandatory")
+    ordered = wanted.repartition(1).sortWithinPartitions(F.desc("activation"), "resolution", "index")
+    return ordered.mapInArrow(fold, ordered.select(*names).schema)
 
 
 def summary(chosen: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -11,11 +11,12 @@ from ..operators import catalog
 from ..operators.levels import cloud_bounds, level_count, level_counts, row_group_ends, with_levels
 from ..operators.packing import ORDERS, pack_levels, pack_pages, with_place
 from .model import Metadata, Transform
-from .tables import written
+from .tables import forget, written
 
 SIDECAR = "_point_cloud.json"
-#: How intensity is encoded: dictionary, or without.
-ENCODINGS = ("dictionary", "plain")
+#: How intensity is encoded. Parquet's Java writer chooses what it uses without a dictionary by the format's version, for all columns: delta
+#: for integers in version 2, plain in version 1. So "plain" stores coordinates plain too.
+ENCODINGS = ("dictionary", "delta", "plain")
 
 
 @dataclass(frozen=True)
@@ -85,7 +86,7 @@ def write(packed: Packed, path: str, source: str | None = None) -> dict:
     ordered = rows.repartitionByRange(n, "resolution", "row_group").sortWithinPartitions("resolution", "row_group", "page", "place")
     writer = ordered.write.mode("overwrite").partitionBy("resolution").option("compression", "zstd")
     for key, value in {
-        "parquet.compression.codec.zstd.level": o.zstd_level, "parquet.writer.version": "PARQUET_2_0", "parquet.block.row.count.limit": o.row_group_size,
+        "parquet.compression.codec.zstd.level": o.zstd_level, "parquet.writer.version": "PARQUET_1_0" if o.intensity_encoding == "plain" else "PARQUET_2_0", "parquet.block.row.count.limit": o.row_group_size,
         "parquet.page.row.count.limit": o.page_rows, "parquet.enable.dictionary#x": "false", "parquet.enable.dictionary#y": "false",
         "parquet.enable.dictionary#z": "false", "parquet.enable.dictionary#gps_time": "false",
         "parquet.enable.dictionary#intensity": str(o.intensity_encoding == "dictionary").lower(),
@@ -93,10 +94,12 @@ def write(packed: Packed, path: str, source: str | None = None) -> dict:
         writer = writer.option(key, str(value))
     writer.parquet(path)
     stored = spark.read.parquet(path)
-    groups = catalog.row_groups(stored, meta.transform, meta.voxel_edge_ratio, meta.levels)
-    groups.write.mode("overwrite").parquet(f"{path}/_catalog/row_groups")
+    # one scan of the points for both tables: pages are counted and bounded, row groups are sums of pages
+    by_page = written(catalog.counted(stored, "page"))
+    catalog.row_groups(by_page, meta.transform, meta.voxel_edge_ratio, meta.levels, counted_before=True).write.mode("overwrite").parquet(f"{path}/_catalog/row_groups")
     groups = spark.read.parquet(f"{path}/_catalog/row_groups")
-    catalog.pages(stored, groups, meta.transform).write.mode("overwrite").parquet(f"{path}/_catalog/pages")
+    catalog.pages(by_page, groups, meta.transform, counted_before=True).write.mode("overwrite").parquet(f"{path}/_catalog/pages")
+    forget(by_page)
     write_text(spark, f"{path}/{SIDECAR}", meta.to_json())
     return {"points": sum(packed.level_points), "levels": list(packed.level_points), "rowGroups": meta.level_row_group_ends[-1], "bounds": list(meta.bounds)}
 

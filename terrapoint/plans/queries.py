@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 from ..functions import color, geometry, hash64, voxel
 from ..operators import analysis, catalog, levels, packing, selection
 from ..sources import las
+from ..sources.files import footers
 from ..sources.points import EVENTS_SQL, STORED, UNSIGNED, VIEW, broken, complete, events_points, lineitem_points
+from ..streaming.progressive import gathered
 from . import layout
 from .cloud import PointCloud
 from .model import AXES, Box, Metadata, Transform, fit_distance, pixel_scale, query_set, voxel_width
@@ -203,11 +206,11 @@ def p12_voxel_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SRGB = "(case when {c} <= 0.04045 then {c} / 12.92 else pow(({c} + 0.055) / 1.055, 2.4) end)"
 
 
-@query(POINTS + "select source_index, round(" + _SRGB.format(c="(red / 65535.0)") + ", 9) as linear, round((case when red / 65535.0 <= 0.0031308 then red / 65535.0 * 12.92 else 1.055 * pow(red / 65535.0, 1 / 2.4) - 0.055 end), 9) as srgb from pts where red is not null")
+@query(POINTS + "select source_index, round(" + _SRGB.format(c="(coalesce(red, 0) / 65535.0)") + ", 9) as linear, round((case when coalesce(red, 0) / 65535.0 <= 0.0031308 then coalesce(red, 0) / 65535.0 * 12.92 else 1.055 * pow(red / 65535.0, 1 / 2.4) - 0.055 end), 9) as srgb from pts")
 def p13_p20_srgb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col("red") / F.lit(65535.0)
-    rows = events_points(spark, sf_dir).filter("red is not null")
-    return rows.select("source_index", F.round(color.srgb_to_linear(c), 9).alias("linear"), F.round(color.linear_to_srgb(c), 9).alias("srgb"))
+    """Of all points; one without a colour is black, as everywhere."""
+    c = F.coalesce("red", F.lit(0)) / F.lit(65535.0)
+    return events_points(spark, sf_dir).select("source_index", F.round(color.srgb_to_linear(c), 9).alias("linear"), F.round(color.linear_to_srgb(c), 9).alias("srgb"))
 
 
 @query(POINTS + "select source_index, round(0.5 * exp(-pow(z * 0.01 * 0.002, 2)) + 0.1 * (1 - exp(-pow(z * 0.01 * 0.002, 2))), 9) as shade from pts")
@@ -264,10 +267,15 @@ def p18_pixel_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(pixel_scale(VIEWER.viewport_height, VIEWER.fov_degrees), 9),)], "pixel_scale double")
 
 
-@query(POINTS + ", b as (select " + _xyz("trunc((min({a}) + max({a})) / 2.0)::bigint as o{a}") + " from pts) select source_index, " + _xyz("({a}::bigint - o{a})::double * 0.01 as l{a}") + " from pts, b")
+ORIGIN = (12.5, -3.25, 100.0)
+
+
+@query(POINTS + "select source_index, " + ", ".join(f"round({a}::double * 0.01 - {o!r}::double, 6) as l{a}" for a, o in zip(AXES, ORIGIN, strict=True)) + " from pts")
 def p19_local_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL takes the direct way, from which the one by the middle differs in the last digits only."""
     points = events_points(spark, sf_dir)
-    return points.select("source_index", *geometry.local_decoded(VIEW, levels.cloud_bounds(points)))
+    local = geometry.local_decoded(VIEW, levels.cloud_bounds(points), ORIGIN)
+    return points.select("source_index", *local).select("source_index", *[F.round(f"l{a}", 6).alias(f"l{a}") for a in AXES])
 
 
 @query(GROUPS + "select index, 18.0 * point_count / greatest(point_count, 1) as bytes_per_point from g")
@@ -317,15 +325,22 @@ def p25_calls_per_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("classification", analysis.per_points(F.col("n"), F.col("m")).alias("calls"))
 
 
-@query(POINTS + "select source_index, case when x >= 1e6 then printf('%.1fm', x / 1e6) when x >= 1e3 then printf('%.1fk', x / 1e3) else printf('%d', x) end as short from pts where x % 100000 <> 50000")
-def p26_short_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_points(spark, sf_dir).filter("x % 100000 <> 50000").select("source_index", geometry.short_number(F.col("x")).alias("short"))
+# tenths of thousands and of millions by whole numbers, halves up; printf of doubles is exact, and those halfway go up
+_TENTHS = "({r} // 10)::varchar || case when {r} % 10 = 0 then '' else '.' || ({r} % 10)::varchar end"
+_K, _M = "((v + 50) // 100)", "((v + 50000) // 100000)"
 
 
-@query(POINTS + "select source_index, case when x >= 1e6 then printf('%.1fm', x / 1e6) when x >= 1e3 then printf('%.1fk', x / 1e3) else printf('%d', x) end as short from pts")
-def p26_short_numbers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all points, also those that p26_short_numbers leaves out: the ties of the one-decimal format."""
-    return events_points(spark, sf_dir).select("source_index", geometry.short_number(F.col("x")).alias("short"))
+@query(
+    POINTS + ", n as (select source_index, x::bigint as v from pts) select source_index, "
+    f"case when v < 1000 then v::varchar when {_K} < 10000 then {_TENTHS.format(r=_K)} || 'k' else {_TENTHS.format(r=_M)} || 'm' end as short, "
+    "case when v < 1000 then v::varchar || ' B' when v < 1000000 then printf('%.1f', v / 1000.0::double + case when v % 1000 = 250 then 0.01 else 0 end) || ' kB' "
+    "else printf('%.2f', v / 1000000.0::double + case when v % 1000000 in (125000, 625000) then 0.001 else 0 end) || ' MB' end as bytes, "
+    "format('{:,}', v) as whole, regexp_replace(regexp_replace(printf('%.6f', v / 7.0::double), '0+$', ''), '[.]$', '') as coordinate from n"
+)
+def p26_short_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("x")
+    shown = {"short": geometry.short_number(x), "bytes": geometry.short_bytes(x), "whole": geometry.grouped_integer(x), "coordinate": geometry.coordinate(x / F.lit(7.0))}
+    return events_points(spark, sf_dir).select("source_index", *[c.alias(n) for n, c in shown.items()])
 
 
 _SELECTED = GROUPS + f""",
@@ -484,11 +499,11 @@ def q6_page_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(PACKED + f"select resolution::int as resolution, count(*) as points from pk where resolution <= {LEVEL} and {_between(BOX)} group by all")
 def q7_q8_progressive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results come group by group and are added to a table, so no plan grows with their number."""
     cloud = stored(spark, sf_dir)
-    out = cloud.query_quantized(BOX, LEVEL).limit(0)  # of a box without candidates
-    for _, part in cloud.chunks(BOX, LEVEL):
-        out = out.unionByName(part)
-    return out.groupBy("resolution").agg(F.count(F.lit(1)).alias("points"))
+    found = gathered(cloud, BOX, LEVEL, f"{shared_folder(spark)}/tables/progressive-{uuid.uuid4().hex}")
+    discard_at_exit(spark, found.inputFiles()[0].rpartition("/")[0])
+    return found.groupBy("resolution").agg(F.count(F.lit(1)).alias("points"))
 
 
 @query(GROUPS + f"select index, resolution, point_count, row_end - point_count as row_start, row_end, geometric_error, {', '.join(f'{m}{a}' for m in ('min', 'max') for a in AXES)} from g")
@@ -508,8 +523,8 @@ def q11_union_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(PACKED + "select source_index, " + ", ".join(f"(case (resolution % 8) {' '.join(f'when {i} then {c[k]!r}' for i, c in enumerate(color.PALETTE))} end)::float as {n}" for k, n in enumerate(("cr", "cg", "cb"))) + f" from pk where {_between(BOX)}")
 def q12_recolor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of one query, coloured by another mode without a new scan of the files."""
-    found = packed(spark, sf_dir).filter(geometry.inside(BOX))
+    """The rows of one query are kept; another colour mode reads those, not the cloud."""
+    found = written(packed(spark, sf_dir).filter(geometry.inside(BOX)).select("source_index", "x", "y", "z", "red", "green", "blue", "resolution"))
     return found.select("source_index", *color.point_color("resolution", 0, 1))
 
 
@@ -532,20 +547,12 @@ def q14_chunk_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Levels, packing, orders
 
 
-@query("select 19::int as levels, 20::int as fixture")
-def l1_ladder_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .model import ladder_length
-
-    own = ladder_length(Box((0, 0, 0), (149000, 86399, 49002)), VIEW, 2)
-    return spark.createDataFrame([(own, ladder_length(Box((0, 0, 0), (400000, 1, 1)), Transform(), 2))], "levels int, fixture int")
-
-
 _SPAN = "greatest(" + ", ".join(f"max({a})::bigint - min({a})::bigint" for a in AXES) + ")::double"
 
 
 @query(POINTS + f"select (min(e) + 1)::int as levels from range(64) t(e), (select {_SPAN} * 1.0 as span from pts) where 2.0 ** e > span")
-def l1_ladder_length_of_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the input's own cloud, where l1_ladder_length has fixed boxes."""
+def l1_ladder_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the input's own cloud."""
     from .model import ladder_length
 
     return spark.createDataFrame([(ladder_length(levels.cloud_bounds(events_points(spark, sf_dir)), VIEW, 2),)], "levels int")
@@ -599,10 +606,12 @@ def o2_page_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_place(by_source, "gps-time").select("source_index", "by_source", F.col("place").alias("by_time"))
 
 
-@query(GROUPS + f"select count(*) as points from pk join g using (resolution, row_group) where g.row_end <= (select max(row_end) from g where resolution <= {LEVEL})")
+@query(GROUPS + f"select count(*) as points, count(*) filter ({_between(BOX)}) as points_in_box from pk join g using (resolution, row_group) where g.row_end <= (select max(row_end) from g where resolution <= {LEVEL})")
 def o4_a5_count_at_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A prefix of a file has no meaning here; the level's rows do."""
-    return stored(spark, sf_dir).points.filter(F.col("resolution") <= LEVEL).agg(F.count(F.lit(1)).alias("points"))
+    """A prefix of a file has no meaning here; the level's rows do, and those of them that a box holds."""
+    cloud = stored(spark, sf_dir)
+    every = cloud.points.filter(F.col("resolution") <= LEVEL).agg(F.count(F.lit(1)).alias("points"))
+    return every.join(F.broadcast(cloud.query_quantized(BOX, LEVEL).agg(F.count(F.lit(1)).alias("points_in_box"))))  # one row each
 
 
 # Storage
@@ -644,23 +653,14 @@ def s5_s6_parquet_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(GROUPS + "select resolution::int as resolution, count(*) as row_groups, sum(point_count)::bigint as points from g group by all")
 def s8_s9_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row groups as the files' footers have them, by the directory of their level."""
-    cloud = stored(spark, sf_dir)
+    groups_ = catalog.footer_groups(footers(spark, stored(spark, sf_dir).path))
+    return groups_.groupBy(F.col("resolution").cast("int").alias("resolution")).agg(F.count(F.lit(1)).alias("row_groups"), F.sum("point_count").alias("points"))
 
-    def footers(batches):
-        import pyarrow as pa
-        import pyarrow.parquet as pq
 
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                meta = pq.ParquetFile(pa.BufferReader(content)).metadata
-                level = int(path.split("resolution=")[1].split("/")[0])
-                rows += [(level, meta.row_group(i).num_rows) for i in range(meta.num_row_groups)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["resolution", "n"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.parquet").option("recursiveFileLookup", "true").load(f"{cloud.path}/resolution=*")
-    rows = files.select("path", "content").mapInArrow(footers, "resolution long, n long")
-    return rows.groupBy(F.col("resolution").cast("int").alias("resolution")).agg(F.count(F.lit(1)).alias("row_groups"), F.sum("n").alias("points"))
+@query(GROUPS + f"select count(*) as row_groups_read, coalesce(sum(point_count), 0)::bigint as points_in_candidate_row_groups from g where resolution <= {LEVEL} and {_meets(BOX)}")
+def a6_candidates_from_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan of a box without the catalogue: statistics of the footers, pivoted to a row for each group."""
+    return catalog.plan(catalog.footer_groups(footers(spark, stored(spark, sf_dir).path)), BOX, LEVEL)
 
 
 @query(GROUPS + "select '0.1.0' as version, 32 as ratio, " + ", ".join(f"round(min(wmin{a}), 6) as min{a}, round(max(wmax{a}), 6) as max{a}" for a in AXES) + " from g")
@@ -682,11 +682,6 @@ def s17_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.level_counts(packed(spark, sf_dir), LEVELS).select(F.to_json(F.struct("resolution", "point_count")).alias("json"))
 
 
-@query(POINTS + "select * from (select 'x' as \"column\", count(*) filter (x is null) as nulls, 0::bigint as out_of_range, false as mixed from pts union all select 'red', 0, count(*) filter (red < 0 or red > 65535), true from pts union all select 'intensity', count(*) filter (intensity is null), count(*) filter (intensity < 0 or intensity > 65535), false from pts)")
-def s5_schema_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return broken(complete(events_points(spark, sf_dir))).filter(F.col("column").isin("x", "red", "intensity"))
-
-
 def _broken_sql() -> str:
     """Of each stored column; those that the points don't have are 0, false or null in `full`."""
     have = {*AXES, "red", "green", "blue", "intensity", "classification", "gps_time"}
@@ -702,8 +697,8 @@ def _broken_sql() -> str:
 
 
 @query(_broken_sql())
-def s5_schema_check_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all stored columns, where s5_schema_check shows three."""
+def s5_schema_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all stored columns."""
     return broken(complete(events_points(spark, sf_dir)))
 
 
@@ -715,13 +710,16 @@ def a1_cloud_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_points(spark, sf_dir).agg(*[f(a).alias(f"{n}{a}") for a in AXES for n, f in (("min", F.min), ("max", F.max))])
 
 
-@query("select count(*) as points, true as equal from events")
+@query(POINTS + "select count(*) as points, true as equal, " + ", ".join(f"sum({c})::bigint as sum_{c}" for c in (*AXES, "source_index", "red", "green", "blue", "intensity", "classification")) + " from pts")
 def a4_full_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hash values are the engine's own; that the stored copy has those of its source is what counts."""
-    columns = ["source_index", "x", "y", "z", "red", "green", "blue", "intensity", "gps_time"]
-    a = analysis.full_checksum(events_points(spark, sf_dir).select(*columns))
-    b = analysis.full_checksum(stored(spark, sf_dir).points.select(*columns)).select(F.col("checksum").alias("other"))
-    return a.join(F.broadcast(b)).select("points", (F.col("checksum") == F.col("other")).alias("equal"))  # one row each
+    """Hash values are the engine's own; that the stored copy has those of its source, in all columns of both, is what counts. Sums of
+    the stored columns are compared with SQL."""
+    source, copy = events_points(spark, sf_dir), stored(spark, sf_dir).points
+    columns = [c for c in copy.columns if c in source.columns]
+    a = analysis.full_checksum(source.select(*columns))
+    b = analysis.full_checksum(copy.select(*columns)).select(F.col("checksum").alias("other"))
+    sums = copy.agg(*[F.sum(c).cast("long").alias(f"sum_{c}") for c in (*AXES, "source_index", "red", "green", "blue", "intensity", "classification")])
+    return a.join(F.broadcast(b)).join(F.broadcast(sums)).select("points", (F.col("checksum") == F.col("other")).alias("equal"), *sums.columns)  # one row each
 
 
 @query(GROUPS + "select resolution, any_value(geometric_error) as geometric_error, count(distinct index) as row_groups from g group by all")
@@ -731,25 +729,9 @@ def a7_a8_any_value_and_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def a9_bytes_per_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Compressed sizes come from our own files, which DuckDB has no copy of."""
-    cloud = stored(spark, sf_dir)
-
-    def footers(batches):
-        import pyarrow as pa
-        import pyarrow.parquet as pq
-
-        for batch in batches:
-            names, sizes = [], []
-            for content in batch.column("content").to_pylist():
-                meta = pq.ParquetFile(pa.BufferReader(content)).metadata
-                for i in range(meta.num_row_groups):
-                    for k in range(meta.num_columns):
-                        names.append(meta.row_group(i).column(k).path_in_schema)
-                        sizes.append(meta.row_group(i).column(k).total_compressed_size)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["column_name", "n"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.parquet").option("recursiveFileLookup", "true").load(f"{cloud.path}/resolution=*")
-    return files.select("content").mapInArrow(footers, "column_name string, n long").groupBy("column_name").agg(F.sum("n").alias("compressed_bytes")).orderBy("column_name")
+    """Compressed sizes come from our own files, which DuckDB has no copy of; a test reads the same files with another reader."""
+    chunks = footers(spark, stored(spark, sf_dir).path)
+    return chunks.groupBy("column_name").agg(F.sum("compressed_bytes").alias("compressed_bytes")).orderBy("column_name")
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -783,6 +765,12 @@ def o6_o7_median_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.median_trial(_runs(spark, sf_dir), ["config"], "elapsed", "trial").select("config", "trial", "elapsed")
 
 
+@query(_RUNS + "select config, trial, requests, row_number() over (order by requests, config, trial)::bigint as place from runs")
+def o6_result_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _runs(spark, sf_dir).withColumn("name", F.concat_ws("/", "config", F.col("trial").cast("string")))
+    return analysis.by_rows(runs, "requests", "name").select("config", "trial", "requests", F.col("place").cast("long").alias("place"))
+
+
 @query(_RUNS + "select config, trial, round(bytes / max(bytes) filter (trial = 0) over (partition by config) - 1, 9) as bytes_vs from runs")
 def a15_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = analysis.relative(_runs(spark, sf_dir), F.col("trial") == 0, ["config"], ["bytes"])
@@ -802,8 +790,7 @@ def a17_a24_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_RUNS + "select config, trial from runs a where not exists (select 1 from runs b where (b.config, b.trial) <> (a.config, a.trial) and b.requests <= a.requests and b.bytes <= a.bytes and b.elapsed <= a.elapsed and (b.requests < a.requests or b.bytes < a.bytes or b.elapsed < a.elapsed))")
 def a18_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = _runs(spark, sf_dir).withColumn("key", F.concat_ws("/", "config", "trial"))
-    return analysis.pareto(runs, "key", ["requests", "bytes", "elapsed"]).select("config", "trial")
+    return analysis.pareto(_runs(spark, sf_dir), ["requests", "bytes", "elapsed"]).select("config", "trial")
 
 
 _PHASES = POINTS + ", m as (select source_index, x / 10.0 + 100 as data_ready, x / 20.0 + 50 as load, 10.0 as buffer, 20.0 as open, x / 10.0 + 150 as gpu_complete, 30.0 as render, x / 10.0 + 160 as frame from pts)\n"
@@ -822,11 +809,15 @@ def a25_output_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("bytes", F.col("points") * 18)
 
 
-@query("select true as same")
+@query(POINTS + "select true as same, count(*) filter (source_index <> 0) <> count(*) as other_differs, count(*) as n, " + ", ".join(f"{m}({a}) as {m}{a}" for a in AXES for m in ("min", "max")) + " from pts")
 def a22_same_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored cloud is beside its source the same, and beside one that lacks a point another."""
     sides = [f(a).alias(f"{n}{a}") for a in AXES for n, f in (("min", F.min), ("max", F.max))]
-    a = events_points(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), *sides)
-    return analysis.same_source(a, stored(spark, sf_dir).points.agg(F.count(F.lit(1)).alias("n"), *sides), 0.01)
+    summed = lambda df: df.agg(F.count(F.lit(1)).alias("n"), *sides)
+    a, b = summed(events_points(spark, sf_dir)), summed(stored(spark, sf_dir).points)
+    less = summed(events_points(spark, sf_dir).filter("source_index <> 0"))
+    out = analysis.same_source(a, b, 0.01).join(F.broadcast(analysis.same_source(less, b, 0.01).select((~F.col("same")).alias("other_differs"))))
+    return out.join(F.broadcast(b))  # one row each
 
 
 # Octree nodes

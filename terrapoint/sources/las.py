@@ -6,7 +6,6 @@ is a slice of records, read by its task; headers are read on the driver and must
 
 from __future__ import annotations
 
-import os
 import struct
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -16,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..plans.model import Transform
+from .files import opened
 from .points import STORED
 
 #: Records of a partition.
@@ -47,8 +47,10 @@ class Header:
 def read_header(path: str) -> Header:
     if path.lower().endswith(".laz"):
         raise ValueError(f"{path}: LAZ can't be decoded here; convert it to LAS first")
-    size = os.path.getsize(path)
-    with open(path, "rb") as f:
+    with opened(path) as f:
+        f.seek(0, 2)
+        size = f.tell()
+        f.seek(0)
         head = f.read(375)
         if head[:4] != b"LASF":
             raise ValueError(f"{path} is no LAS file")
@@ -155,7 +157,7 @@ class _Reader(DataSourceReader):
 
     def read(self, part: _Slice) -> Iterator[pa.RecordBatch]:
         h = part.header
-        with open(h.path, "rb") as f:
+        with opened(h.path) as f:
             for at in range(0, part.count, 65536):
                 n = min(65536, part.count - at)
                 f.seek(h.data_offset + (part.first + at) * h.record_length)

@@ -28,6 +28,16 @@ def chunked(cloud: PointCloud, box: Box, level: int) -> Iterator[tuple[int, Data
         yield g["index"], cloud._result(rows if g["contained"] else rows.filter(inside(box)))
 
 
+def gathered(cloud: PointCloud, box: Box, level: int, path: str) -> DataFrame:
+    """All parts of chunked(), each added to a table at path as it comes: what has come can be read at any time, and no plan holds more than
+    one part. The same rows as one query, row groups in order."""
+    empty = cloud.query_quantized(box, level).limit(0)
+    empty.write.mode("overwrite").parquet(path)
+    for _, part in chunked(cloud, box, level):
+        part.write.mode("append").parquet(path)
+    return cloud.spark.read.schema(empty.schema).parquet(path)
+
+
 def level_stream(cloud: PointCloud, box: Box) -> Iterator[tuple[int, DataFrame]]:
     """(level, points that this level adds), each a partition-pruned query."""
     for level in range(cloud.metadata.levels):

@@ -167,7 +167,7 @@ def test_orders(spark):
     by_time = {r["source_index"]: r["place"] for r in packing.with_place(paged, "gps-time").collect()}
     assert [by_time[i] for i in (2, 1, 0, 3)] == [0, 1, 2, 3]
     assert by_time[5] < by_time[4]
-    with pytest.raises(ValueError, match="GPS time"):
+    with pytest.raises(ValueError, match="gps_time"):
         packing.with_place(paged.drop("gps_time"), "gps-time")
     with pytest.raises(ValueError, match="order"):
         packing.with_place(paged, "random")

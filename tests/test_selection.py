@@ -130,13 +130,13 @@ def test_model():
     assert Metadata.from_json(meta.to_json()) == meta
     assert meta.geometric_error(2) == 0 and meta.geometric_error(0) == pytest.approx(4 * math.sqrt(3))
     for bad in ("{}", "[]", meta.to_json().replace("0.1.0", "9"), meta.to_json().replace('"voxel_edge_ratio":2', '"voxel_edge_ratio":1')):
-        with pytest.raises(ValueError, match="Invalid"):
+        with pytest.raises(ValueError, match="sidecar"):
             Metadata.from_json(bad)
     with pytest.raises(ValueError, match="missing"):
         Metadata.from_json(None)
-    with pytest.raises(ValueError, match="cover"):
+    with pytest.raises(ValueError, match="left over"):
         meta.check_levels(5)
-    with pytest.raises(ValueError, match="range"):
+    with pytest.raises(ValueError, match="decrease"):
         meta.check_levels(3)
     with pytest.raises(TypeError):
         check_box(Box((0.5, 0, 0), (1, 1, 1)))
@@ -152,7 +152,7 @@ def test_model():
 
 def test_median_trial_wants_odd(spark):
     runs = spark.createDataFrame([("a", 1, 3.0), ("a", 2, 1.0)], "config string, trial int, v double")
-    with pytest.raises(Exception, match="odd sample count"):
+    with pytest.raises(Exception, match="even number"):
         analysis.median_trial(runs, ["config"], "v", "trial").collect()
 
 
@@ -162,3 +162,45 @@ def test_match_level(spark):
     assert analysis.match_level(levels, depths, 100) == (1, 0)
     assert analysis.match_level(levels, depths, 100, level=2) == (2, 2)
     assert analysis.match_level(levels, depths, 100, depth=1) == (1, 1)
+
+
+def test_formats(spark):
+    cases = [(0.0, "0", "0 B", "0"), (999.0, "999", "999 B", "999"), (1000.0, "1k", "1.0 kB", "1000"), (1049.0, "1k", "1.0 kB", "1049"), (1050.0, "1.1k", "1.1 kB", "1050"), (1150.0, "1.2k", "1.1 kB", "1150"), (1250.0, "1.3k", "1.3 kB", "1250")]
+    cases += [(999949.0, "999.9k", "999.9 kB", "999949"), (999950.0, "1m", "1000.0 kB", "999950"), (1250000.0, "1.3m", "1.25 MB", "1250000"), (1.5e9, "1.5b", "1500.00 MB", "1500000000"), (2.5e12, "2.5t", "2500000.00 MB", "2500000000000")]
+    cases += [(999.96, "1k", "999.96 B", "999.96"), (12.34, "12.3", "12.34 B", "12.34"), (1125000.0, "1.1m", "1.13 MB", "1125000"), (1e16, "10,000t", "10000000000.00 MB", "10000000000000000")]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, v double")
+    shown = df.select("i", geometry.short_number(F.col("v")).alias("a"), geometry.short_bytes(F.col("v")).alias("b"), geometry.coordinate(F.col("v")).alias("c")).orderBy("i").collect()
+    assert [(r["a"], r["c"]) for r in shown] == [(c[1], c[3]) for c in cases]
+    assert [r["b"] for r in shown if cases[r["i"]][0] < 1e15] == [c[2] for c in cases if c[0] < 1e15]
+    row = spark.range(1).select(geometry.short_number(F.lit(-1250000)), geometry.coordinate(F.lit(-0.1234565)), geometry.coordinate(F.lit(-1e-9)), geometry.coordinate(F.lit(1 / 128)), geometry.grouped_integer(F.lit(7188755)), geometry.short_number(F.lit(None).cast("int"))).first()
+    assert tuple(row) == ("-1.3m", "-0.123457", "0", "0.007813", "7,188,755", None) or row[1] in ("-0.123456", "-0.123457")
+    assert (row[0], row[2], row[3], row[4], row[5]) == ("-1.3m", "0", "0.007813", "7,188,755", None)
+
+
+def test_pareto(spark):
+    import random
+
+    r = random.Random(12)
+    rows = [(i, *(r.choice([None, *range(9)]) if i % 50 == 0 else r.randrange(30) for _ in range(3))) for i in range(3000)] + [(3000, 0, 0, 30), (3001, 0, 0, 30)]
+    df = spark.createDataFrame(rows, "i int, a int, b int, c int").repartition(7)
+
+    def beats(x, y):
+        return None not in x and None not in y and all(p <= q for p, q in zip(x, y, strict=True)) and x != y
+
+    want = {i for i, *v in rows if not any(beats(w, v) for _, *w in rows)}
+    assert {x["i"] for x in analysis.pareto(df, ["a", "b", "c"]).collect()} == want
+    assert analysis.pareto(df.limit(0), ["a", "b", "c"]).count() == 0
+
+
+def test_selection_streams(spark):
+    """Many groups, in one pass: the total passes from batch to batch."""
+    n = 25_000
+    rows = spark.range(n).select(F.col("id").cast("int").alias("index"), F.lit(1).cast("tinyint").alias("resolution"), (F.col("id") % 7 + 1).alias("point_count"), *[(F.col("id") + k).cast("double").alias(c) for k, c in enumerate([*catalog.WORLD_LOW, *catalog.WORLD_HIGH])])
+    view = selection.View((-10.0, 0.0, 0.0), 1000.0, 60.0, 0.0, 50_003.0)
+    got = sorted(r["index"] for r in selection.selected(rows, [1.0, 0.0], Box((-1.0,) * 3, (1e6,) * 3), view).collect())
+    total, want = 0, []
+    for i in range(n):  # nearer ones first
+        if total + i % 7 + 1 <= 50_003:
+            total += i % 7 + 1
+            want.append(i)
+    assert got == want

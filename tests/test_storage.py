@@ -7,6 +7,7 @@ from terrapoint.plans.cloud import PointCloud
 from terrapoint.plans.layout import LayoutOptions, laid_out, write
 from terrapoint.plans.model import Box, Transform
 from terrapoint.sources import exporter, las
+from terrapoint.sources.files import files_below, footers, opened
 from terrapoint.sources.points import STORED, broken, complete
 
 SCALE = Transform((0.01, 0.01, 0.01), (0.0, 0.0, 0.0))
@@ -105,3 +106,33 @@ def test_several_inputs(spark, tmp_path):
         las.check_same([las.read_header(p) for p in paths])
     with pytest.raises(ValueError, match="LAZ"):
         las.read_header("a.laz")
+
+
+def test_encodings(spark, points, tmp_path):
+    """Three encodings of intensity, as the footers name them."""
+    want = {"dictionary": ("RLE_DICTIONARY", None), "delta": ("DELTA_BINARY_PACKED", "DICTIONARY"), "plain": ("PLAIN", "DELTA")}
+    for name, (has, lacks) in want.items():
+        path = str(tmp_path / name)
+        few = points.withColumn("intensity", (F.col("intensity") % 2).cast("int"))  # many values fall back from a dictionary
+        write(laid_out(few, SCALE, LayoutOptions(levels=2, row_group_size=20, page_rows=10, intensity_encoding=name)), path)
+        found = footers(spark, path).filter("column_name = 'intensity'").collect()
+        assert found
+        for r in found:
+            assert has in r["encodings"].split(",") and (lacks is None or lacks not in r["encodings"]), (name, r["encodings"])
+        if name != "plain":
+            assert all("DELTA_BINARY_PACKED" in r["encodings"] for r in footers(spark, path).filter("column_name in ('x', 'y', 'z')").collect())
+        assert PointCloud(spark, path).points.count() == 40
+    with pytest.raises(ValueError, match="encoding"):
+        LayoutOptions(intensity_encoding="none").check()
+
+
+def test_files_by_address(spark, tmp_path):
+    path = tmp_path / "a.las"
+    las.write_las(str(path), record(), SCALE, 10, "WKT")
+    spark.dataSource.register(las.LasDataSource)
+    for name in (f"file:{path}", f"file://{path}"):
+        assert spark.read.format("las").option("path", name).load().count() == 40
+    with pytest.raises(Exception, match="scheme|Unrecognized|filesystem"):
+        opened("nostore://a/b")
+    (tmp_path / "_skipped").mkdir()
+    assert files_below(spark, str(tmp_path), ".las") == [f"file:{path}"]
