@@ -138,7 +138,7 @@ def plain_scores(texts, order):
 
 
 @pytest.mark.parametrize("order", [1, 2, 3])
-@pytest.mark.parametrize("frequent", [1 << 18, 50])
+@pytest.mark.parametrize("frequent", [1 << 22, 50])
 def test_scores(spark, monkeypatch, order, frequent):
     monkeypatch.setattr(lm_scoring, "FREQUENT", frequent)
     r = random.Random(2)
