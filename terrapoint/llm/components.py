@@ -56,16 +56,17 @@ def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def dealt(rows: DataFrame, spread: str, block: int | None = None) -> DataFrame:
-    """rows (key, ...) in which at least two share a key, with `block` and `chunk`.
+def dealt(rows: DataFrame, spread: str, block: int | None = None, alone: bool = False) -> DataFrame:
+    """rows (key, ...) in which at least two share a key, with `block` and `chunk`. With alone, all rows: then only keys
+    of over `block` rows, of which there are few, are joined to the rows.
 
     Groups of over `block` (BLOCK) rows are cut into chunks by a hash of column `spread`, and each pair of chunks is a block:
     two rows of a group meet in one block. Rows of one chunk meet in the block of that chunk with itself; elsewhere
     only rows of different chunks are to be compared.
     """
     block = block or BLOCK
-    sizes = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / block).cast("int").alias("chunks")))
-    met = rows.join(sizes, "key")
+    sizes = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > (block if alone else 1)).select("key", F.ceil(F.col("n") / block).cast("int").alias("chunks")))
+    met = rows.join(sizes, "key", "left" if alone else "inner").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     chunk = F.pmod(F.xxhash64("key", spread), F.col("chunks")).cast("int")
     met = met.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     pair = F.struct(F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))

@@ -8,11 +8,11 @@ exact one. With B1, B2 and C1, C2 the halves of B and C, and A1, A2, A3 the thir
 
 * differ in at most one bit of A and of B, and so meet at A x B1 or A x B2;
 * or are equal in A, or in B, and meet there (code of all words);
-* or else differ in at most one bit of C. If also in at most one of A (of B), they meet at A x C1 or A x C2 (B x C1 or B x C2);
-* or else differ in two bits of A, two of B and none of C, and meet at C x A1, C x A2 or C x A3.
+* or else differ in at most two bits of A and of B and one of C: they meet at one of the 18 products of a third of A, a third of B and a half of C;
+* or else differ in three bits of A or of B, one of the other and none of C: they meet at C x B1 or C x B2, or at C x A1 or C x A2.
 
-A fingerprint goes to 37 anchors, whatever the corpus holds, among 2^21 to 2^26 of each kind. Different fingerprints are compared at each anchor; equal
-ones fold before.
+Here B1, B2, A1, A2, C1 and C2 are halves. A fingerprint goes to 35 anchors, whatever the corpus holds, among 2^23 to 2^30 of each kind. Different
+fingerprints are compared at each anchor; equal ones fold before.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, written
-from .components import components, dealt, local_roots, per_block
+from .common import grouped, small_batches, written
+from .components import components, dealt, local_roots
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
@@ -38,6 +38,9 @@ GOLAY = 0b110001110101
 RADIUS = 3
 #: Fingerprints that meet in one block, at most about twice as many.
 BLOCK = 4096
+#: Blocks of at most so many fingerprints are compared together, so many rows or a little more at a time.
+SMALL = 64
+TOGETHER = 1 << 16
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -95,14 +98,16 @@ def anchors(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     part = lambda shift, size: (bits >> np.uint64(shift)).astype(np.int64) & (1 << size) - 1
     a, b, c, every = part(41, 23), part(18, 23), part(0, 18), np.arange(len(bits))
     names, whose = [], []
-    for golay, exact in ((a, (b >> 11, b & 0x7FF, c >> 9, c & 0x1FF)), (b, (c >> 9, c & 0x1FF))):
-        error = _near[0][_remainder(golay)]
-        row, column = np.nonzero(error >= 0)
-        anchor = golay[row] ^ error[row, column]
-        for x in exact:
-            names.append(anchor << 12 | x[row])
-            whose.append(row)
-    for x in (a, b, c << 8 | a >> 15, c << 8 | a >> 7 & 0xFF, c << 8 | a & 0x7F):
+    error = _near[0][_remainder(a)]
+    row, column = np.nonzero(error >= 0)
+    anchor = a[row] ^ error[row, column]
+    for x in (b >> 11, b & 0x7FF):
+        names.append(anchor << 12 | x[row])
+        whose.append(row)
+    thirds = lambda x: (x >> 15, x >> 7 & 0xFF, x & 0x7F)
+    exact = [x << 17 | y << 9 | z for x in thirds(a) for y in thirds(b) for z in (c >> 9, c & 0x1FF)]
+    exact += [c << 12 | x for x in (a >> 11, a & 0x7FF, b >> 11, b & 0x7FF)]
+    for x in (a, b, *exact):
         names.append(x)
         whose.append(every)
     return np.concatenate([x | kind << 40 for kind, x in enumerate(names)]), np.concatenate(whose)
@@ -119,22 +124,37 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(prints[whose])], ["key", "print"])
 
 
-def _compare(distance: int):
-    def compare(block: pa.Table) -> Iterator[pa.RecordBatch]:
-        bits = np.unique(block.column("print").to_numpy().view(np.uint64))
-        pairs = []
-        for at in range(0, len(bits), 512):
-            near = np.bitwise_count(bits[at : at + 512, None] ^ bits[None, at:]) <= distance
-            i, j = np.nonzero(near)
+def _near_pairs(bits: np.ndarray, starts: np.ndarray, sizes: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of fingerprints of one block within the distance: small blocks side by side, large ones in squares."""
+    last = np.repeat(starts + sizes, sizes)
+    here = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
+    for k in range(1, SMALL):
+        here = here[here + k < last[here]]
+        near = here[np.bitwise_count(bits[here] ^ bits[here + k]) <= distance]
+        yield near, near + k
+    for b, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+        block = bits[b : b + n]
+        for at in range(0, n, 512):
+            i, j = np.nonzero(np.bitwise_count(block[at : at + 512, None] ^ block[None, at:]) <= distance)
             later = i < j
-            pairs.append((i[later] + at, j[later] + at))
-        i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        if len(i):
-            root = local_roots(len(bits), i, j)
-            linked = np.flatnonzero(root != np.arange(len(bits)))
-            yield pa.RecordBatch.from_arrays([pa.array(bits[linked].view(np.int64)), pa.array(bits[root[linked]].view(np.int64))], ["a", "b"])
+            yield i[later] + at + b, j[later] + at + b
 
-    return compare
+
+def _links(distance: int):
+    """Links (a, b) from rows in the order of their blocks: each fingerprint to the first that it reaches in a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, "block", lambda t: t.num_rows, TOGETHER):
+            block, bits = table.column("block").to_numpy(), table.column("print").to_numpy().view(np.uint64)
+            starts = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1])
+            sizes = np.diff(starts, append=len(block))
+            i, j = (np.concatenate(x) for x in zip(*_near_pairs(bits, starts, sizes, distance), strict=True))
+            if len(i):
+                root = local_roots(len(bits), i, j)
+                linked = np.flatnonzero(root != np.arange(len(bits)))
+                yield pa.RecordBatch.from_arrays([pa.array(bits[linked].view(np.int64)), pa.array(bits[root[linked]].view(np.int64))], ["a", "b"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -155,7 +175,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col
     prints = written(rows.mapInArrow(_fingerprints(shingle), schema))
     kinds = written(prints.groupBy("print").agg(F.min("id").alias("least")))
     anchored = kinds.select("print").mapInArrow(_anchored, "key long, print long")
-    links = per_block(dealt(anchored, "print", BLOCK).select("block", "print"), _compare(distance), "a long, b long")
+    met = dealt(anchored, "print", BLOCK, alone=True).select("block", "print")
+    links = met.repartition("block").sortWithinPartitions("block").mapInArrow(_links(distance), "a long, b long")
     roots = written(components(links))
     reached = kinds.join(roots, F.col("print") == F.col("node"), "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     least = written(reached.groupBy("root").agg(F.min("least").alias("component_id")))
