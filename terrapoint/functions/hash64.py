@@ -1,8 +1,11 @@
-"""Unsigned 64-bit arithmetic on bigint columns, which ANSI mode would stop at the first overflow."""
+"""Hashes by 64-bit arithmetic that wraps, on bigint columns."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import contextlib
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The constants of splitmix64 (Steele, Lea and Flood, 2014), and the start of a point's priority.
@@ -18,39 +21,40 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _part(c: Column, shift: int, bits: int) -> Column:
-    return F.shiftrightunsigned(c, shift).bitwiseAND((1 << bits) - 1)
+@contextlib.contextmanager
+def wrapping(spark: SparkSession) -> Iterator[None]:
+    """Sums and products of bigints that are analysed inside wrap at 64 bits, in any later use of their DataFrame.
 
+    An expression keeps the overflow mode that it was analysed with, so only analysis has to happen inside.
+    """
+    name = "spark.sql.ansi.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
-def add(c: Column, k: int) -> Column:
-    """c + k modulo 2**64, by halves."""
-    low = _part(c, 0, 32) + F.lit(k & 0xFFFFFFFF)
-    high = F.shiftrightunsigned(c, 32) + F.lit(k >> 32) + F.shiftright(low, 32)
-    return F.shiftleft(high, 32).bitwiseOR(_part(low, 0, 32))
 
+def _mixed(df: DataFrame, name: str, seed: Column) -> DataFrame:
+    """df with column `name`: splitmix64 of `seed` but for the last shift. Call inside wrapping().
 
-def multiply(c: Column, k: int) -> Column:
-    """c * k modulo 2**64, by quarters: no product or sum passes 35 bits."""
-    a = [_part(c, 16 * i, 16) for i in range(4)]
-    b = [F.lit(k >> 16 * i & 0xFFFF).cast("long") for i in range(4)]
-    carry, out = F.lit(0).cast("long"), None
-    for place in range(4):
-        total = carry
-        for i in range(place + 1):
-            total = total + a[i] * b[place - i]
-        digit = F.shiftleft(_part(total, 0, 16), 16 * place)
-        out = digit if out is None else out.bitwiseOR(digit)
-        carry = F.shiftright(total, 16)
-    return out
+    What is used twice is a projection of its own, so no step is computed twice.
+    """
+    df = df.withColumn(name, seed + F.lit(signed(GAMMA)))
+    for shift, k in MULTIPLIERS:
+        df = df.withColumn(name, F.col(name).bitwiseXOR(F.shiftrightunsigned(name, shift)) * F.lit(signed(k)))
+    return df
+
+
+def _last(name: str) -> Column:
+    return F.col(name).bitwiseXOR(F.shiftrightunsigned(name, LAST_SHIFT))
 
 
 def with_splitmix64(df: DataFrame, name: str) -> DataFrame:
-    """df with splitmix64 of column `name` in its place. Each step is a projection, so no step is computed twice."""
-    df = df.withColumn(name, add(F.col(name), GAMMA))
-    for shift, k in MULTIPLIERS:
-        df = df.withColumn(name, F.col(name).bitwiseXOR(F.shiftrightunsigned(name, shift)))
-        df = df.withColumn(name, multiply(F.col(name), k))
-    return df.withColumn(name, F.col(name).bitwiseXOR(F.shiftrightunsigned(name, LAST_SHIFT)))
+    """df with splitmix64 of column `name` in its place."""
+    with wrapping(df.sparkSession):
+        return _mixed(df, name, F.col(name)).withColumn(name, _last(name))
 
 
 def with_priority(df: DataFrame, exponent: int, name: str = "priority") -> DataFrame:
@@ -58,10 +62,12 @@ def with_priority(df: DataFrame, exponent: int, name: str = "priority") -> DataF
 
     The value is a bigint that orders as the unsigned hash does.
     """
-    df = df.withColumn(name, F.lit(signed(START ^ exponent)).cast("long"))
-    for axis in ("x", "y", "z"):
-        df = with_splitmix64(df.withColumn(name, F.col(name).bitwiseXOR(F.col(axis).cast("long").bitwiseAND(0xFFFFFFFF))), name)
-    return df.withColumn(name, unsigned_order(F.col(name)))
+    with wrapping(df.sparkSession):
+        state = F.lit(signed(START ^ exponent)).cast("long")
+        for axis in ("x", "y", "z"):
+            df = _mixed(df, name, state.bitwiseXOR(F.col(axis).cast("long").bitwiseAND(0xFFFFFFFF)))
+            state = _last(name)
+        return df.withColumn(name, unsigned_order(state))
 
 
 def unsigned_order(c: Column) -> Column:

@@ -83,7 +83,11 @@ def write(packed: Packed, path: str, source: str | None = None) -> dict:
     spark, o, meta = packed.points.sparkSession, packed.options, packed.metadata
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = packed.points.withColumn("x", F.col("x").alias("x", metadata={"point_cloud": meta.to_json()}))
-    ordered = rows.repartitionByRange(n, "resolution", "row_group").sortWithinPartitions("resolution", "row_group", "page", "place")
+    # the sizes of levels are known, so each task gets its share of consecutive row groups without a sample of the points
+    ends = meta.level_row_group_ends
+    first = F.element_at(F.array(*[F.lit(e).cast("long") for e in (0, *ends[:-1])]), F.col("resolution").cast("int") + 1)
+    share = F.floor((first + F.col("row_group")) * F.lit(n) / F.lit(max(ends[-1], 1))).cast("int")
+    ordered = rows.repartitionById(n, share).sortWithinPartitions("resolution", "row_group", "page", "place")
     writer = ordered.write.mode("overwrite").partitionBy("resolution").option("compression", "zstd")
     for key, value in {
         "parquet.compression.codec.zstd.level": o.zstd_level, "parquet.writer.version": "PARQUET_1_0" if o.intensity_encoding == "plain" else "PARQUET_2_0", "parquet.block.row.count.limit": o.row_group_size,
