@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,19 +10,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def opened(path: str):
-    """A seekable binary file: a plain or file: path, or a URI of a store that Arrow knows (s3, s3a, gs, hdfs, abfs)."""
+def _local(path: str) -> str | None:
+    """The local path that a plain or file: path names, None for a URI of a store."""
     scheme, _, rest = path.partition(":")
     if not rest or "/" in scheme:
-        return open(path, "rb")
-    if scheme == "file":
-        return open("/" + rest.lstrip("/"), "rb")
+        return path
+    return "/" + rest.lstrip("/") if scheme == "file" else None
+
+
+def _store(path: str):
+    """Arrow's file system of a URI, and the path in it."""
     from pyarrow import fs
 
-    store, inner = fs.FileSystem.from_uri(path.replace("s3a:", "s3:", 1) if scheme == "s3a" else path)
+    return fs.FileSystem.from_uri(path.replace("s3a:", "s3:", 1) if path.startswith("s3a:") else path)
+
+
+def opened(path: str):
+    """A seekable binary file: a plain or file: path, or a URI of a store that Arrow knows (s3, s3a, gs, hdfs, abfs)."""
+    if (local := _local(path)) is not None:
+        return open(local, "rb")
+    store, inner = _store(path)
     return store.open_input_file(inner)
 
 
+def created(path: str):
+    """A new binary file, written from front to back, with the folders above it; paths as for opened()."""
+    if (local := _local(path)) is not None:
+        os.makedirs(os.path.dirname(os.path.abspath(local)), exist_ok=True)
+        return open(local, "wb")
+    store, inner = _store(path)
+    store.create_dir(inner.rpartition("/")[0], recursive=True)
+    return store.open_output_stream(inner)
+
+
 def files_below(spark: SparkSession, path: str, suffix: str = ".parquet") -> list[str]:
     """Paths of the data files below a folder, by Hadoop's file systems; folders and files that begin with _ or . are skipped."""
     jvm = spark.sparkContext._jvm

@@ -7,15 +7,18 @@ is a slice of records, read by its task; headers are read on the driver and must
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..plans.model import Transform
-from .files import opened
+from .files import created, opened
 from .points import STORED
 
 #: Records of a partition.
@@ -199,5 +202,46 @@ def write_las(path: str, columns: dict[str, np.ndarray], transform: Transform, p
     struct.pack_into("<BHI", head, 104, point_format, records.dtype.itemsize, n if point_format < 6 else 0)
     struct.pack_into("<6d", head, 131, *transform.scale, *transform.offset)
     struct.pack_into("<Q", head, 247, n)
-    with open(path, "wb") as f:
+    with created(path) as f:
         f.write(bytes(head) + vlr + records.tobytes())
+
+
+def write_las_parts(points: DataFrame, order: Sequence[str], folder: str, transform: Transform, point_format: int = 3, wkt: str | None = None, records: int = SLICE) -> list[str]:
+    """Writes points, whose columns are raw record fields without nulls, in the order of some columns as LAS files of up to `records` points each.
+
+    Gives the files in that order. Rows are sorted by range over all tasks; each task writes files of its own below `folder`, which driver and
+    executors must share, and holds the points of one. A repeated task writes them again under other names, and those of the last
+    one are given. Columns that the format doesn't have are left out. Without points there is one empty file.
+    """
+    fields = [c for c in points.columns if c in np.dtype(FORMATS[point_format]).names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made = TaskContext.get().partitionId(), []
+
+        def flush(held: list[pa.RecordBatch]) -> None:
+            table = pa.Table.from_batches(held)
+            path = f"{folder}/{part:05d}-{len(made):05d}-{uuid.uuid4().hex}.las"
+            write_las(path, {c: table.column(c).to_numpy() for c in table.column_names}, transform, point_format, wkt)
+            made.append(path)
+
+        held, size = [], 0
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                some = batch.slice(at, records - size)
+                held.append(some)
+                at, size = at + some.num_rows, size + some.num_rows
+                if size == records:
+                    flush(held)
+                    held, size = [], 0
+        if held:
+            flush(held)
+        yield pa.RecordBatch.from_arrays([pa.array([part] * len(made), pa.int32()), pa.array(range(len(made)), pa.int32()), pa.array(made, pa.string())], ["part", "file", "path"])
+
+    ordered = points.repartitionByRange(*order).sortWithinPartitions(*order).select(*fields)
+    rows = sorted(ordered.mapInArrow(run, "part int, file int, path string").collect())
+    if not rows:
+        path = f"{folder}/empty.las"
+        write_las(path, {"x": np.empty(0, np.int32)}, transform, point_format, wkt)
+        return [path]
+    return [r["path"] for r in rows]

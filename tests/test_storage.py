@@ -108,6 +108,20 @@ def test_several_inputs(spark, tmp_path):
         las.read_header("a.laz")
 
 
+def test_files_written_in_tasks(spark, tmp_path):
+    """Files of a few points each, in order, over several tasks."""
+    df = spark.range(1000, numPartitions=3).selectExpr("cast(999 - id as int) as x", "cast(id % 7 as int) as y", "cast(-id as int) as z", "cast(id * 0.5 as double) as gps", "id as key")
+    paths = las.write_las_parts(df, ["key"], f"file://{tmp_path}/parts", SCALE, 3, "WKT", records=90)
+    headers = [las.read_header(p) for p in paths]
+    las.check_same(headers)
+    assert sum(h.count for h in headers) == 1000 and max(h.count for h in headers) <= 90 and headers[0].crs == "WKT"
+    spark.dataSource.register(las.LasDataSource)
+    rows = spark.read.format("las").option("path", ",".join(paths)).load().orderBy("source_index").collect()
+    assert [(r["source_index"], r["x"], r["y"], r["z"], r["gps_time"]) for r in rows] == [(i, 999 - i, i % 7, -i, i * 0.5) for i in range(1000)]
+    empty = las.write_las_parts(df.limit(0), ["key"], str(tmp_path / "none"), SCALE)
+    assert [las.read_header(p).count for p in empty] == [0]
+
+
 def test_encodings(spark, points, tmp_path):
     """Three encodings of intensity, as the footers name them."""
     want = {"dictionary": ("RLE_DICTIONARY", None), "delta": ("DELTA_BINARY_PACKED", "DICTIONARY"), "plain": ("PLAIN", "DELTA")}
