@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from terrapoint.plans.cloud import PointCloud
@@ -122,6 +123,20 @@ def test_files_written_in_tasks(spark, tmp_path):
     assert [las.read_header(p).count for p in empty] == [0]
 
 
+def test_las_files_leave_the_driver_out(spark, monkeypatch):
+    """No row of the view passes the driver; the files are where executors see them."""
+    from pyspark.sql import DataFrame
+
+    from terrapoint.plans import queries
+    from terrapoint.plans.tables import shared_folder
+
+    monkeypatch.setattr(queries, "_layouts", {})
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: pytest.fail("rows were brought to the driver"))
+    paths = queries._las_files(spark, f"{DATA}/sf0.001")
+    assert len(paths) >= 2 and all(p.startswith(shared_folder(spark)) for p in paths)
+    assert queries.s4_crs(spark, f"{DATA}/sf0.001").collect()[0][0] == 'LOCAL_CS["test"]'
+
+
 def test_encodings(spark, points, tmp_path):
     """Three encodings of intensity, as the footers name them."""
     want = {"dictionary": ("RLE_DICTIONARY", None), "delta": ("DELTA_BINARY_PACKED", "DICTIONARY"), "plain": ("PLAIN", "DELTA")}
