@@ -154,6 +154,27 @@ def test_scores(spark, monkeypatch, order, frequent):
     assert lm_scoring.scored(df.limit(0), order).count() == 0
 
 
+@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_scores_of_whole_model(spark, monkeypatch, order, least):
+    """With least 1 no n-gram is left out; higher bounds leave out no word."""
+    monkeypatch.setattr(lm_scoring, "FREQUENT", 50)
+    r = random.Random(4)
+    texts = [" ".join(r.choices([f"w{i}" for i in range(60)], weights=range(60, 0, -1), k=r.randint(0, 30))) for _ in range(60)] + [None, "", "only once here", "only twice", "only twice"]
+    seqs = [tuple((t or "").split()) for t in texts]
+    count = Counter(s[i : i + n] for s in seqs for n in range(1, order + 1) for i in range(len(s) - n + 1))
+
+    def share(gram):
+        if len(gram) == 1:
+            return count[gram] / sum(map(len, seqs))
+        return count[gram] / count[gram[:-1]] if count[gram] >= least else 0.4 * share(gram[1:])
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["id"]: x["score"] for x in lm_scoring.scored(df, order, least=least).collect()}
+    want = {k: sum(math.log10(share(s[max(0, i - order + 1) : i + 1])) for i in range(len(s))) for k, s in enumerate(seqs)}
+    assert got == pytest.approx(want, abs=1e-5)
+
+
 def test_scores_of_rows_without_ids(spark):
     texts = ["a b c", "a b c", None, "a b", "b c a b"]
     df = spark.createDataFrame([(None if i < 3 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string")
