@@ -154,6 +154,24 @@ def test_scores(spark, monkeypatch, order, frequent):
     assert lm_scoring.scored(df.limit(0), order).count() == 0
 
 
+@pytest.mark.parametrize("piece", [1, 50, 1 << 18])
+def test_words_within_texts(monkeypatch, piece):
+    """Words of many texts at once: no word runs on into the next text, equal words and no others have equal hashes."""
+    monkeypatch.setattr(segments, "PIECE", piece)
+    r = random.Random(6)
+    long_ = ["".join("ab"[(i.bit_count() + k) % 2] for i in range(1024)).encode() for k in (0, 1)]
+    texts = [bytes(r.choices(b"ab\0\xff \t\n\v\f\r\x08\x0e\x1c\x85", weights=[9, 9, *[1] * 12], k=r.randint(0, 99))) for _ in range(200)]
+    texts += [b"", b" ", b"a" * 32, b"a" * 33 + b" " + b"a" * 34, b"a\0", b"a", b"a\0\0", b"", *long_, b"abcdefgh abcdefghi abcdefgh\0"]
+    words = [t.split() for t in texts]
+    h, counts = segments.words_within(b"".join(texts), np.cumsum([0, *map(len, texts)]))
+    assert counts.tolist() == [len(w) for w in words]
+    flat = [w for ws in words for w in ws]
+    pairs = set(zip(flat, h.tolist(), strict=True))
+    assert len(pairs) == len(set(flat)) == len(set(h.tolist()))
+    none, nothing = segments.words_within(b"", np.zeros(3, np.int64))
+    assert len(none) == 0 and nothing.tolist() == [0, 0]
+
+
 @pytest.mark.parametrize("order", [2, 3])
 @pytest.mark.parametrize("least", [1, 2, 3])
 def test_scores_of_whole_model(spark, monkeypatch, order, least):
