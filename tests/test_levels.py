@@ -72,6 +72,12 @@ def test_level_count(spark):
     assert counts(levels.with_levels(points, bounds, Transform(), 2, n), n)[0] == 7
 
 
+def test_level_count_of_wide_cloud(spark):
+    """More than 64 voxels of width 2^18 to 2^20: the search goes on past the widths that the query's SQL lists."""
+    points = cloud(spark, [(i << 18, 0, 0) for i in range(344)])
+    assert levels.level_count(points, levels.cloud_bounds(points), Transform(), 2, 64) == 1 + next(e for e in range(40) if len({(i << 18) >> e for i in range(344)}) <= 64) == 22
+
+
 def test_order_of_rows_does_not_matter(spark):
     rows = [(x, 3 * x, 5 * x) for x in range(32)]
     points = spark.createDataFrame([(x, y, z, i) for i, (x, y, z) in reversed(list(enumerate(rows)))], "x int, y int, z int, source_index long")
