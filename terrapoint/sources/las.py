@@ -186,12 +186,22 @@ class LasDataSource(DataSource):
         return _Reader([p for p in self.options["path"].split(",") if p], int(self.options.get("records", SLICE)))
 
 
-def write_las(path: str, columns: dict[str, np.ndarray], transform: Transform, point_format: int = 3, wkt: str | None = None) -> None:
-    """A small LAS 1.4 file from raw record fields (names as in FORMATS); what isn't given is 0."""
-    n = len(columns["x"])
-    records = np.zeros(n, FORMATS[point_format])
+def packed(columns: dict[str, np.ndarray], point_format: int) -> np.ndarray:
+    """Records from their raw fields (names as in FORMATS); what isn't given is 0."""
+    records = np.zeros(len(columns["x"]), FORMATS[point_format])
     for k, v in columns.items():
         records[k] = v
+    return records
+
+
+def write_las(path: str, columns: dict[str, np.ndarray], transform: Transform, point_format: int = 3, wkt: str | None = None) -> None:
+    """A small LAS 1.4 file from raw record fields (names as in FORMATS); what isn't given is 0."""
+    write_records(path, [packed(columns, point_format)], transform, point_format, wkt)
+
+
+def write_records(path: str, parts: Sequence[np.ndarray], transform: Transform, point_format: int = 3, wkt: str | None = None) -> None:
+    """A LAS 1.4 file of packed records, part after part, without another copy of them."""
+    n = sum(map(len, parts))
     vlr = b""
     if wkt is not None:
         data = wkt.encode() + b"\0"
@@ -199,11 +209,39 @@ def write_las(path: str, columns: dict[str, np.ndarray], transform: Transform, p
     head = bytearray(375)
     head[:4], head[24], head[25] = b"LASF", 1, 4
     struct.pack_into("<HII", head, 94, 375, 375 + len(vlr), int(bool(vlr)))
-    struct.pack_into("<BHI", head, 104, point_format, records.dtype.itemsize, n if point_format < 6 else 0)
+    struct.pack_into("<BHI", head, 104, point_format, np.dtype(FORMATS[point_format]).itemsize, n if point_format < 6 else 0)
     struct.pack_into("<6d", head, 131, *transform.scale, *transform.offset)
     struct.pack_into("<Q", head, 247, n)
     with created(path) as f:
-        f.write(bytes(head) + vlr + records.tobytes())
+        f.write(bytes(head) + vlr)
+        for p in parts:
+            f.write(p.view(np.uint8))
+
+
+def write_batches(batches: Iterator[pa.RecordBatch], stem: str, transform: Transform, point_format: int = 3, wkt: str | None = None, records: int = SLICE) -> list[str]:
+    """Writes batches of raw record fields as LAS files of up to `records` points each, whose paths begin with stem; gives them in order.
+
+    Batches are packed as they come, so that no more is held than the records of one file.
+    """
+    held, size, made = [], 0, []
+
+    def flush() -> None:
+        path = f"{stem}-{len(made):05d}-{uuid.uuid4().hex}.las"
+        write_records(path, held, transform, point_format, wkt)
+        made.append(path)
+
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            some = batch.slice(at, records - size)
+            held.append(packed({c: some.column(c).to_numpy(zero_copy_only=False) for c in some.schema.names}, point_format))
+            at, size = at + some.num_rows, size + some.num_rows
+            if size == records:
+                flush()
+                held, size = [], 0
+    if held:
+        flush()
+    return made
 
 
 def write_las_parts(points: DataFrame, order: Sequence[str], folder: str, transform: Transform, point_format: int = 3, wkt: str | None = None, records: int = SLICE) -> list[str]:
@@ -216,26 +254,8 @@ def write_las_parts(points: DataFrame, order: Sequence[str], folder: str, transf
     fields = [c for c in points.columns if c in np.dtype(FORMATS[point_format]).names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made = TaskContext.get().partitionId(), []
-
-        def flush(held: list[pa.RecordBatch]) -> None:
-            table = pa.Table.from_batches(held)
-            path = f"{folder}/{part:05d}-{len(made):05d}-{uuid.uuid4().hex}.las"
-            write_las(path, {c: table.column(c).to_numpy() for c in table.column_names}, transform, point_format, wkt)
-            made.append(path)
-
-        held, size = [], 0
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                some = batch.slice(at, records - size)
-                held.append(some)
-                at, size = at + some.num_rows, size + some.num_rows
-                if size == records:
-                    flush(held)
-                    held, size = [], 0
-        if held:
-            flush(held)
+        part = TaskContext.get().partitionId()
+        made = write_batches(batches, f"{folder}/{part:05d}", transform, point_format, wkt, records)
         yield pa.RecordBatch.from_arrays([pa.array([part] * len(made), pa.int32()), pa.array(range(len(made)), pa.int32()), pa.array(made, pa.string())], ["part", "file", "path"])
 
     ordered = points.repartitionByRange(*order).sortWithinPartitions(*order).select(*fields)

@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from conftest import DATA
@@ -123,6 +126,25 @@ def test_files_written_in_tasks(spark, tmp_path):
     assert [las.read_header(p).count for p in empty] == [0]
 
 
+def test_writing_las_holds_one_file(tmp_path):
+    """Memory for the packed records of one file: neither copies of them nor the batches they came from."""
+    n, made = 400000, []
+    size = n * np.dtype(las.FORMATS[3]).itemsize
+    i = np.arange(n, dtype=np.int32)
+    columns = {"x": i, "y": i % 7, "z": -i, "gps": i * 0.5}
+    batches = (pa.RecordBatch.from_arrays([pa.array(c[at : at + 9000] + k * n) for c in columns.values()], list(columns)) for k in range(2) for at in range(0, n, 9000))
+    for write in (lambda: las.write_las(f"{tmp_path}/a.las", columns, SCALE) or [f"{tmp_path}/a.las"], lambda: las.write_batches(batches, f"{tmp_path}/b", SCALE, records=n)):
+        tracemalloc.start()
+        made += write()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert size < peak < 1.5 * size
+    assert [las.read_header(p).count for p in made] == [n] * 3
+    assert open(made[0], "rb").read() == open(made[1], "rb").read()
+    last = las.read_header(made[2])
+    assert np.array_equal(las.records_to_columns(open(made[2], "rb").read()[last.data_offset :], last)["x"], i + n)
+
+
 def test_las_files_leave_the_driver_out(spark, monkeypatch):
     """No row of the view passes the driver; the files are where executors see them."""
     from pyspark.sql import DataFrame
